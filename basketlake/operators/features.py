@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from basketlake.functions.columns import ratio
 from basketlake.functions.distributed import share_at_or_below
+from basketlake.session import materialize
 from basketlake.functions.timing import (
     days, elapsed_days, elapsed_seconds, moment, month_start, quarter_start)
 
@@ -276,9 +277,12 @@ def customer_features(cleaned: DataFrame, customers: DataFrame, cutoff: Column |
                       taxonomy: DataFrame, n_categories: int, prices: DataFrame,
                       popular: DataFrame, training_ids: DataFrame, trend_days: int = 90,
                       price_ratio: float = 0.90, fitted: DataFrame | None = None) -> DataFrame:
-    """The full table; engagement is fitted on training customers, or on a frozen ``fitted``."""
-    raw = raw_customer_features(cleaned, customers, cutoff, taxonomy, n_categories, prices, popular,
-                                trend_days, price_ratio)
+    """The full table; engagement is fitted on training customers, or on a frozen ``fitted``.
+
+    The customer-grain table is materialized once because the percentile fit reads it repeatedly.
+    """
+    raw = materialize(raw_customer_features(cleaned, customers, cutoff, taxonomy, n_categories,
+                                            prices, popular, trend_days, price_ratio))
     base = fitted if fitted is not None else raw.join(
         training_ids.select("customer_id"), "customer_id", "left_semi")
     return raw.join(engagement(raw, base), "customer_id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlake.functions.distributed import exact_quantiles
 from basketlake.functions.timing import moment
 from basketlake.settings import ProductSettings
 
@@ -81,7 +80,8 @@ def popularity(training: DataFrame, cfg: ProductSettings = ProductSettings()) ->
     total = counted.agg(F.sum("training_order_frequency").alias("t")).scalar()
     shares = counted.withColumn("product_popularity",
                                 F.col("training_order_frequency") / total.cast("double"))
-    rare = exact_quantiles(shares, "product_popularity", {"q": cfg.rare_quantile}).scalar()
+    # Frequencies are small integers, so the exact percentile's buffer of distinct values is short.
+    rare = shares.agg(F.percentile("product_popularity", cfg.rare_quantile).alias("q")).scalar()
     return shares.withColumn("is_rare_product", F.col("product_popularity") <= rare)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "basketlake", master: str | None = None,
@@ -31,3 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="basketlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small, often reused table: survives lost executors, cuts lineage."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
+    return frame.checkpoint()
