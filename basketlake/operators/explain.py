@@ -89,13 +89,13 @@ def local_drivers(scorer: Scorer, rows: DataFrame, training: DataFrame, features
         *[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])).alias("feature", "v"))
     medians = exact_quantiles(values, "v", {"median": 0.5}, ["feature"]).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("m")).scalar()
-    base = scorer(rows).select("customer_id", F.col(score).alias("probability"),
+    base = scorer(rows).select("customer_id", F.col(score).alias("base_score"),
                                *[F.col(f).cast("double").alias(f) for f in features])
     changed = _variants(base.withColumn("__m", medians), features, lambda f: F.col("__m")[f]).drop(
         "__m")
     return scorer(changed).select(
-        "customer_id", F.col("changed").alias("feature"), "probability",
-        (F.col("probability") - F.col(score)).alias("contribution"))
+        "customer_id", F.col("changed").alias("feature"), F.col("base_score").alias("probability"),
+        (F.col("base_score") - F.col(score)).alias("contribution"))
 
 
 def representatives(scored: DataFrame, threshold: float, score: str = "probability_1") -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from basketlake.functions.distributed import exact_quantiles
 from basketlake.operators import evaluation
+from basketlake.session import materialize
 
 SEED = 42
 
@@ -89,7 +90,7 @@ def churn_families(n_train: int, n_features: int, rounds: int | None = None) ->
 
     return {
         "logistic_regression": Family(
-            LogisticRegression(maxIter=200, **weighted), True,
+            LogisticRegression(maxIter=100, **weighted), True,
             tuple({"elasticNetParam": mix, "regParam": 1.0 / (c * n_train)}
                   for mix in (1.0, 0.0) for c in (0.1, 1.0, 10.0))),
         "decision_tree": Family(
@@ -97,7 +98,7 @@ def churn_families(n_train: int, n_features: int, rounds: int | None = None) ->
             ({"maxDepth": 4, "minInstancesPerNode": 5}, {"maxDepth": 8, "minInstancesPerNode": 10},
              {"maxDepth": 30, "minInstancesPerNode": 20})),
         "random_forest": Family(
-            RandomForestClassifier(seed=SEED, **weighted), False,
+            RandomForestClassifier(seed=SEED, maxMemoryInMB=1024, **weighted), False,
             ({"numTrees": 160, "maxDepth": 30, "minInstancesPerNode": 2,
               "featureSubsetStrategy": "sqrt"},
              {"numTrees": 240, "maxDepth": 12, "minInstancesPerNode": 5,
@@ -131,20 +132,21 @@ def param_maps(estimator: Estimator, grid: Sequence[Mapping[str, object]]
 
 
 def grid_search(train: DataFrame, features: Sequence[str], family: Family, evaluator: Evaluator,
-                folds: int = 5, parallelism: int = 4):
+                folds: int = 5, parallelism: int = 8):
     """Cross-validate every candidate on the ``fold`` column and refit the best on all rows."""
     pipeline = Pipeline(stages=preprocessing(features, family.scale) + [family.estimator])
     search = CrossValidator(
         estimator=pipeline, estimatorParamMaps=param_maps(family.estimator, family.grid),
         evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED)
-    return search.fit(as_doubles(train, features))
+    # Every fold of every candidate reads the rows again, so they are materialized once.
+    return search.fit(materialize(as_doubles(train, features)))
 
 
 def search_report(fitted, family: Family, spark) -> DataFrame:
     """One row per candidate: settings, fold mean and deviation, and whether it won."""
     larger = fitted.getEvaluator().isLargerBetter()
     best = (max if larger else min)(fitted.avgMetrics)
-    rows = [(i, ", ".join(f"{k}={v}" for k, v in settings.items()), float(m), float(s), m == best)
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in settings.items()), float(m), float(s), bool(m == best))
             for i, (settings, m, s) in enumerate(
                 zip(family.grid, fitted.avgMetrics, fitted.stdMetrics, strict=True))]
     return spark.createDataFrame(
@@ -169,7 +171,7 @@ def fit_binary(train: DataFrame, features: Sequence[str], family: Family, candid
     estimator = family.estimator.copy(param_maps(family.estimator, family.grid)[candidate])
     rows = (evaluation.with_class_weight(train, label) if family.weighted
             else balanced_by_repetition(train, label))
-    return fit_pipeline(rows, features, estimator, family.scale)
+    return fit_pipeline(materialize(rows), features, estimator, family.scale)
 
 
 def balanced_by_repetition(train: DataFrame, label: str) -> DataFrame:
@@ -214,21 +216,25 @@ class ValueModel:
     features: tuple[str, ...]
     log_target: bool
     top: float
+    unit: float = 1.0
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
         raw = transform(self.pipeline, rows, self.features)
-        value = F.expm1("prediction") if self.log_target else F.col("prediction")
+        value = F.expm1("prediction") if self.log_target else F.col("prediction") * self.unit
         return raw.withColumn(output, F.least(F.greatest(value, F.lit(0.0)), F.lit(self.top))
                               ).select(*rows.columns, output)
 
 
 def fit_value(train: DataFrame, features: Sequence[str], estimator: Estimator, log_target: bool,
               scale: bool) -> ValueModel:
-    top = float(train.agg(F.max(TARGET).cast("double")).first()[0])
-    y = F.log1p(TARGET) if log_target else F.col(TARGET).cast("double")
+    top, mean = (float(x) for x in train.agg(
+        F.max(TARGET).cast("double"), F.avg(TARGET).cast("double")).first())
+    # In units of the mean, a fit with a log link starts near its solution.
+    unit = 1.0 if log_target or mean <= 0 else mean
+    y = F.log1p(TARGET) if log_target else F.col(TARGET).cast("double") / unit
     model = fit_pipeline(train.withColumn("__y", y), features, estimator.copy(
         {estimator.getParam("labelCol"): "__y"}), scale)
-    return ValueModel(model, tuple(features), log_target, top)
+    return ValueModel(model, tuple(features), log_target, top, unit)
 
 
 def value_candidates(rounds: int = 360, power: float = 1.5, ridge: float = 10.0,
@@ -241,7 +247,7 @@ def value_candidates(rounds: int = 360, power: float = 1.5, ridge: float = 10.0,
         "boosted_log1p": (GBTRegressor(**boosted), True, False),
         "boosted_squared_error": (GBTRegressor(**boosted), False, False),
         "tweedie": (GeneralizedLinearRegression(
-            family="tweedie", variancePower=power, linkPower=0.0, regParam=0.1, maxIter=50),
+            family="tweedie", variancePower=power, linkPower=0.0, regParam=0.1, maxIter=25),
             False, True),
     }
 

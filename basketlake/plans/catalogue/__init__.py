@@ -1,7 +1,8 @@
 """Every operator as a named query over the given tables, with an independent SQL statement."""
 
 from basketlake.plans.catalogue import (  # noqa: F401
-    lines, customers, histories, analysis, recommending, evaluation, serving)
+    lines, customers, histories, analysis, recommending, evaluation, serving,
+    modelling)
 from basketlake.plans.catalogue import registry
 
 QUERIES = dict(registry.QUERIES)

@@ -63,7 +63,7 @@ def segments(ws):
 
 @query("a12_serving_customers", """
 SELECT s.customer_id, country, value_tier, CAST(s.net_spend AS DOUBLE) AS net_spend,
-       coalesce(least(n, 20), 0) AS n_events, round(recency_days, 6) AS recency_days
+       CASE WHEN n IS NULL THEN 0 ELSE least(n, 20) END AS n_events, round(recency_days, 6) AS recency_days
 FROM served s JOIN labelled USING (customer_id) LEFT JOIN (
   SELECT customer_id, count(*) AS n FROM seq_events, cutoffs WHERE invoice_date < churn_cutoff
   GROUP BY customer_id HAVING count(*) >= 2) e USING (customer_id)""")
