@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from basketlake.functions.distributed import exact_quantiles
 from basketlake.operators import evaluation
-from basketlake.session import materialize
+from basketlake.session import materialize, training_rows
 
 SEED = 42
+TREES = (DecisionTreeClassifier, RandomForestClassifier, GBTClassifier, GBTRegressor)
 
 
 # --- preprocessing ------------------------------------------------------------------------------
@@ -48,8 +49,16 @@ def preprocessing(features: Sequence[str], scale: bool) -> list:
 
 def fit_pipeline(train: DataFrame, features: Sequence[str], estimator: Estimator | None,
                  scale: bool = True) -> PipelineModel:
-    stages = preprocessing(features, scale) + ([estimator] if estimator is not None else [])
-    return Pipeline(stages=stages).fit(as_doubles(train, features))
+    rows = as_doubles(train, features)
+    if estimator is None:
+        return Pipeline(stages=preprocessing(features, scale)).fit(rows)
+    return Pipeline(stages=preprocessing(features, scale) + [estimator]).fit(
+        _fit_rows(rows, estimator))
+
+
+def _fit_rows(rows: DataFrame, estimator: Estimator) -> DataFrame:
+    """Trees do much work per pass and want every core; gradient fits make many light passes."""
+    return training_rows(rows) if isinstance(estimator, TREES) else materialize(rows)
 
 
 def as_doubles(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -98,7 +107,7 @@ def churn_families(n_train: int, n_features: int, rounds: int | None = None) ->
             ({"maxDepth": 4, "minInstancesPerNode": 5}, {"maxDepth": 8, "minInstancesPerNode": 10},
              {"maxDepth": 30, "minInstancesPerNode": 20})),
         "random_forest": Family(
-            RandomForestClassifier(seed=SEED, maxMemoryInMB=1024, **weighted), False,
+            RandomForestClassifier(seed=SEED, cacheNodeIds=True, **weighted), False,
             ({"numTrees": 160, "maxDepth": 30, "minInstancesPerNode": 2,
               "featureSubsetStrategy": "sqrt"},
              {"numTrees": 240, "maxDepth": 12, "minInstancesPerNode": 5,
@@ -132,14 +141,14 @@ def param_maps(estimator: Estimator, grid: Sequence[Mapping[str, object]]
 
 
 def grid_search(train: DataFrame, features: Sequence[str], family: Family, evaluator: Evaluator,
-                folds: int = 5, parallelism: int = 8):
+                folds: int = 5, parallelism: int = 4):
     """Cross-validate every candidate on the ``fold`` column and refit the best on all rows."""
     pipeline = Pipeline(stages=preprocessing(features, family.scale) + [family.estimator])
     search = CrossValidator(
         estimator=pipeline, estimatorParamMaps=param_maps(family.estimator, family.grid),
         evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED)
     # Every fold of every candidate reads the rows again, so they are materialized once.
-    return search.fit(materialize(as_doubles(train, features)))
+    return search.fit(_fit_rows(as_doubles(train, features), family.estimator))
 
 
 def search_report(fitted, family: Family, spark) -> DataFrame:
@@ -171,7 +180,7 @@ def fit_binary(train: DataFrame, features: Sequence[str], family: Family, candid
     estimator = family.estimator.copy(param_maps(family.estimator, family.grid)[candidate])
     rows = (evaluation.with_class_weight(train, label) if family.weighted
             else balanced_by_repetition(train, label))
-    return fit_pipeline(materialize(rows), features, estimator, family.scale)
+    return fit_pipeline(rows, features, estimator, family.scale)
 
 
 def balanced_by_repetition(train: DataFrame, label: str) -> DataFrame:
@@ -331,8 +340,8 @@ def fit_next_category(train: DataFrame, features: Sequence[str], trees: int = 16
     stages += preprocessing(features, False)
     stages.append(RandomForestClassifier(
         featuresCol="features", labelCol="class_index", weightCol="class_weight", numTrees=trees,
-        maxDepth=depth, minInstancesPerNode=min_rows, seed=SEED))
-    return Pipeline(stages=stages).fit(as_doubles(weighted, features))
+        maxDepth=depth, minInstancesPerNode=min_rows, cacheNodeIds=True, seed=SEED))
+    return Pipeline(stages=stages).fit(training_rows(as_doubles(weighted, features)))
 
 
 def score_next_category(model: PipelineModel, rows: DataFrame, features: Sequence[str],
@@ -408,7 +417,7 @@ def fit_sequence_model(padded: DataFrame, categories: int) -> PipelineModel:
     rows = evaluation.with_class_weight(sequence_vector(padded, categories), "label")
     return Pipeline(stages=[LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="class_weight", regParam=1e-3,
-        maxIter=100)]).fit(rows)
+        maxIter=100)]).fit(materialize(rows.select("features", "label", "class_weight")))
 
 
 def score_sequences(model: PipelineModel, padded: DataFrame, categories: int) -> DataFrame:

@@ -72,7 +72,7 @@ def search(train: DataFrame, features: Sequence[str], kmeans: Sequence[int] = tu
         fitted["kmeans", k] = model
         rows.append(("kmeans", k, silhouette, index, float(model.summary.trainingCost), None))
     for k in mixtures:
-        model = GaussianMixture(k=k, seed=SEED, predictionCol="cluster").fit(points)
+        model = GaussianMixture(k=k, seed=SEED, maxIter=50, predictionCol="cluster").fit(points)
         silhouette, index = _measure(model.transform(points), p)
         free = k - 1 + k * p + k * p * (p + 1) // 2
         bic = -2.0 * model.summary.logLikelihood + free * math.log(n)

@@ -39,3 +39,14 @@ def materialize(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
+
+
+def training_rows(frame: DataFrame) -> DataFrame:
+    """Rows for an iterative fit: materialized once, in at least one partition per core.
+
+    Coalesced partitions are sized for scans; a fit that passes over the rows dozens of times needs
+    all cores even when the table is small.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    rows = materialize(frame)
+    return rows if rows.rdd.getNumPartitions() >= cores else materialize(rows.repartition(cores))
