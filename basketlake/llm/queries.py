@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import bpe, secrets, sharding
+from basketlake.llm import bpe, packing, secrets, sharding, simhash
 from basketlake.llm.common import documents
 
 SHARDS = 40
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the public byte-level vocabulary, whose rank file is the same vocabulary as its JSON file."""
+    encoder = packing.rank_file_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(documents(spark, folder), encoder)
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Law ``key``: the document id and the number of shards decide; a 41st shard only takes rows."""
     rows = sharding.shard_documents(documents(spark, folder), sharding.regular_tree(SHARDS),
@@ -25,14 +31,21 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, folder))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(documents(spark, folder))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, folder),
                                 public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_sharding": op5_sharding,
     "op8_secret_scan": op8_secret_scan,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -73,11 +73,13 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
     return out
 
 
-def numbered(frame: DataFrame, group: str, order: list[str], buckets: int = 1024) -> DataFrame:
+def numbered(frame: DataFrame, group: str, order: list[str], buckets: int = 1024,
+             groups: int | None = None) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each group, without sorting a whole group in one task.
 
     Rows are counted by (group, hash bucket of the order columns); the few counts give each bucket
     its first number, and only a bucket's rows are ranked together. Equal rows take any order.
+    ``groups``, where given, bounds the counts, which are then broadcast.
     """
     rows = frame.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = rows.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("held"))
@@ -85,7 +87,8 @@ def numbered(frame: DataFrame, group: str, order: list[str], buckets: int = 1024
     firsts = counts.select(group, "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy(group, "bucket").orderBy(*order))
     # groups x buckets rows at most: the broadcast does not grow with the documents
-    return rows.withColumn("rank", rank).join(F.broadcast(firsts), [group, "bucket"]).withColumn(
+    firsts = F.broadcast(firsts) if groups and groups * buckets <= 100_000 else firsts
+    return rows.withColumn("rank", rank).join(firsts, [group, "bucket"]).withColumn(
         "slot", F.col("first") + F.col("rank") - 1).drop("bucket", "first", "rank")
 
 
@@ -103,4 +106,5 @@ def shard_documents(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | Non
         F.crc32(raw).alias("text_crc32"))
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), leaves)).withColumn(
         "grown_shard", shard_of(F.col("doc_id"), grown) if grown else F.lit(None).cast("int"))
-    return numbered(written(rows, "shards"), "shard", ["doc_id", "text_crc32", "size"])
+    return numbered(written(rows, "shards"), "shard", ["doc_id", "text_crc32", "size"],
+                    groups=len(grown or leaves))
