@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import bpe, packing, secrets, sharding, simhash
+from basketlake.llm import bpe, lm, packing, secrets, sharding, simhash
 from basketlake.llm.common import documents
 
 SHARDS = 40
 
 
+def _remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo a number; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(documents(spark, folder), _remainder(10) == 0)
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of the public byte-level vocabulary, whose rank file is the same vocabulary as its JSON file."""
     encoder = packing.rank_file_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -42,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_sharding": op5_sharding,
     "op8_secret_scan": op8_secret_scan,
