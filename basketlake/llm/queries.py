@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import bpe, lm, packing, secrets, sharding, simhash
+from basketlake.llm import bpe, lm, packing, repeats, secrets, sharding, simhash
 from basketlake.llm.common import documents
 
 SHARDS = 40
@@ -36,6 +36,10 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeated_words(documents(spark, folder))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, folder))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_sharding": op5_sharding,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
