@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import bpe, lm, packing, repeats, secrets, sharding, simhash
+from basketlake.llm import bpe, fingerprints, lm, packing, repeats, secrets, sharding, simhash
 from basketlake.llm.common import documents
 
 SHARDS = 40
@@ -29,6 +29,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), encoder)
 
 
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, folder))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Law ``key``: the document id and the number of shards decide; a 41st shard only takes rows."""
     rows = sharding.shard_documents(documents(spark, folder), sharding.regular_tree(SHARDS),
@@ -57,6 +61,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_sharding": op5_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
