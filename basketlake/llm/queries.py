@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import bpe, fingerprints, lm, packing, repeats, secrets, sharding, simhash
-from basketlake.llm.common import documents
+from basketlake.llm import bpe, fingerprints, lm, packing, quality, repeats, secrets, sharding, simhash
+from basketlake.llm.common import documents, table
 
 SHARDS = 40
+QUALITY_LEAST = 0.3
 
 
 def _remainder(modulus: int) -> Column:
@@ -40,6 +41,14 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    model = quality.train(docs, table(spark, folder, "labels"), _remainder(5) != 0)
+    return quality.scored(docs, model).select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeated_words(documents(spark, folder))
 
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_sharding": op5_sharding,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
