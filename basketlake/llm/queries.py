@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.llm import bpe, fingerprints, lm, packing, quality, repeats, secrets, sharding, simhash
+from basketlake.llm import bpe, fingerprints, lm, neighbours, packing, quality, repeats, secrets, sharding, simhash
 from basketlake.llm.common import documents, table
 
 SHARDS = 40
@@ -30,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), encoder)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, folder))
 
@@ -70,6 +74,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_quality_classifier": op6_quality_classifier,
