@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlake.llm.common import components, tasks, texts, written
 
@@ -43,20 +44,6 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed 64-bit number.
-
-    Null and empty texts have fingerprint zero; a text of fewer words is one shingle.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(t, words) for t in texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text").mapInArrow(
-        run, "doc_id bigint, fp bigint")
-
-
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -178,6 +165,27 @@ def links(classes: DataFrame, distance: int = 4, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _with_fingerprint(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """All columns and the fingerprint as column ``fp`` (must not be there yet)."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t, words) for t in texts(batch.column(at))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))],
+                                             names=[*batch.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def _named(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root): classes of equal fingerprints, their least id, and what links lead to."""
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    joined = components(links(classes.select("fp"), distance), "links")
+    return classes.join(joined, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the smallest id among the documents that links lead to.
@@ -186,11 +194,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, doc_id:
     words (null, empty) have fingerprint zero and link like any other. Null ids never are a
     component's id unless all of its ids are null; repeated rows stay rows. An empty table gives none.
     """
-    prints = written(fingerprints(docs, words, doc_id, text), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = components(links(classes.select("fp"), distance), "links")
-    named = classes.join(joined, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = written(_with_fingerprint(docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), words, "text").select(
+        "doc_id", "fp"), "prints")
+    named = _named(prints, distance)
     roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = named.join(roots, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """The same columns, and of each component the row with the smallest id alone.
+
+    Null ids stand after all others; of rows that repeat an id and a fingerprint one stays.
+    """
+    tagged = written(_with_fingerprint(docs, words, "text"), "tagged")
+    prints = tagged.select("doc_id", "fp")
+    named = _named(prints, distance)
+    first = F.struct(F.col("first").isNull().alias("missing"), "first", "fp")
+    keepers = named.groupBy("root").agg(F.min(first).alias("k")).select(
+        F.col("k.first").alias("keep_id"), F.col("k.fp").alias("keep_fp"))
+    kept = tagged.join(keepers, (F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return kept.dropDuplicates(["fp", "doc_id"]).select(*docs.columns)
