@@ -6,7 +6,8 @@ parameters and metrics.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -29,9 +30,19 @@ from pyspark.sql import functions as F
 from basketlake.functions.distributed import exact_quantiles
 from basketlake.operators import evaluation
 from basketlake.session import materialize, training_rows
+from basketlake.settings import RollingSettings
 
 SEED = 42
 TREES = (DecisionTreeClassifier, RandomForestClassifier, GBTClassifier, GBTRegressor)
+FITS_AT_ONCE = 4
+
+
+def side_by_side(tasks: Sequence, at_once: int = FITS_AT_ONCE) -> list:
+    """Results of independent fits, a few submitted at a time so that their small jobs overlap."""
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
 
 
 # --- preprocessing ------------------------------------------------------------------------------
@@ -52,10 +63,18 @@ def fit_pipeline(train: DataFrame, features: Sequence[str], estimator: Estimator
     rows = as_doubles(train, features)
     if estimator is None:
         return Pipeline(stages=preprocessing(features, scale)).fit(rows)
+    rows = rows.select(*_fit_columns(features, estimator))
     return Pipeline(stages=preprocessing(features, scale) + [estimator]).fit(
         _fit_rows(rows, estimator))
 
 
+def _fit_columns(features: Sequence[str], estimator: Estimator) -> list[str]:
+    """Columns that a fit reads: only these are written once and read by every pass."""
+    read = [estimator.getOrDefault(p) for p in ("labelCol", "weightCol")
+            if estimator.hasParam(p) and estimator.isDefined(p) and estimator.getOrDefault(p)]
+    return [*features, *(c for c in read if c not in features)]
+
+
 def _fit_rows(rows: DataFrame, estimator: Estimator) -> DataFrame:
     """Trees do much work per pass and want every core; gradient fits make many light passes."""
     return training_rows(rows) if isinstance(estimator, TREES) else materialize(rows)
@@ -86,17 +105,15 @@ class Family:
     weighted: bool = True
 
 
-def churn_families(n_train: int, n_features: int, rounds: int | None = None) -> dict[str, Family]:
-    """The churn candidates. ``rounds`` replaces the boosting rounds of every boosted candidate.
+# The settings of every candidate below.
+def churn_families(n_train: int, n_features: int) -> dict[str, Family]:
+    """The churn candidates.
 
     An inverse penalty C over n rows equals ``regParam = 1 / (C * n)``.
     """
     common = dict(featuresCol="features", labelCol="churn")
     weighted = dict(common, weightCol="class_weight")
 
-    def boosted(candidates):
-        return tuple(dict(c, maxIter=rounds) if rounds else c for c in candidates)
-
     return {
         "logistic_regression": Family(
             LogisticRegression(maxIter=100, **weighted), True,
@@ -115,16 +132,16 @@ def churn_families(n_train: int, n_features: int, rounds: int | None = None) ->
              {"numTrees": 200, "maxDepth": 8, "minInstancesPerNode": 10,
               "featureSubsetStrategy": "sqrt"})),
         "boosted_depth": Family(
-            GBTClassifier(seed=SEED, **weighted), False, boosted((
-                {"maxIter": 160, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.85},
-                {"maxIter": 240, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 1.0},
-                {"maxIter": 180, "maxDepth": 5, "stepSize": 0.07, "subsamplingRate": 0.8}))),
+            GBTClassifier(seed=SEED, **weighted), False,
+            ({"maxIter": 160, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.85},
+             {"maxIter": 240, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 1.0},
+             {"maxIter": 180, "maxDepth": 5, "stepSize": 0.07, "subsamplingRate": 0.8})),
         # Leaf-wise candidates: about log2(leaves) levels, with a minimum leaf size.
         "boosted_leaves": Family(
-            GBTClassifier(seed=SEED, **weighted), False, boosted((
-                {"maxIter": 160, "maxDepth": 4, "stepSize": 0.05, "minInstancesPerNode": 20},
-                {"maxIter": 240, "maxDepth": 5, "stepSize": 0.03, "minInstancesPerNode": 30},
-                {"maxIter": 180, "maxDepth": 5, "stepSize": 0.07, "minInstancesPerNode": 40}))),
+            GBTClassifier(seed=SEED, **weighted), False,
+            ({"maxIter": 160, "maxDepth": 4, "stepSize": 0.05, "minInstancesPerNode": 20},
+             {"maxIter": 240, "maxDepth": 5, "stepSize": 0.03, "minInstancesPerNode": 30},
+             {"maxIter": 180, "maxDepth": 5, "stepSize": 0.07, "minInstancesPerNode": 40})),
         "linear_svm": Family(
             LinearSVC(maxIter=100, **weighted), True,
             tuple({"regParam": 1.0 / (c * n_train)} for c in (0.5, 1.0, 3.0))),
@@ -148,7 +165,8 @@ def grid_search(train: DataFrame, features: Sequence[str], family: Family, evalu
         estimator=pipeline, estimatorParamMaps=param_maps(family.estimator, family.grid),
         evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED)
     # Every fold of every candidate reads the rows again, so they are materialized once.
-    return search.fit(_fit_rows(as_doubles(train, features), family.estimator))
+    rows = as_doubles(train, features).select(*_fit_columns(features, family.estimator), "fold")
+    return search.fit(_fit_rows(rows, family.estimator))
 
 
 def search_report(fitted, family: Family, spark) -> DataFrame:
@@ -166,8 +184,28 @@ def binary_evaluator(label: str = "churn") -> Evaluator:
     return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
 
 
+class MacroF1(Evaluator):
+    """Mean of the classes' F1, each class counting once; classes are those seen or predicted."""
+
+    def __init__(self, label: str):
+        super().__init__()
+        self.label = label
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pairs = dataset.groupBy(F.col(self.label).cast("int").alias("y"), F.col("prediction").cast("int").alias("z")
+                                ).agg(F.count(F.lit(1)).alias("n"))
+        # one row for each pair of classes
+        seen = [tuple(r) for r in pairs.collect()]
+        classes = {y for y, _, _ in seen} | {z for _, z, _ in seen}
+        return sum(2 * sum(n for y, z, n in seen if y == z == c) /
+                   sum(n * ((y == c) + (z == c)) for y, z, n in seen) for c in classes) / max(1, len(classes))
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 def multiclass_evaluator(label: str) -> Evaluator:
-    return MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
+    return MacroF1(label)
 
 
 def rmse_evaluator(label: str) -> Evaluator:
@@ -241,18 +279,25 @@ def fit_value(train: DataFrame, features: Sequence[str], estimator: Estimator, l
     # In units of the mean, a fit with a log link starts near its solution.
     unit = 1.0 if log_target or mean <= 0 else mean
     y = F.log1p(TARGET) if log_target else F.col(TARGET).cast("double") / unit
+    if isinstance(estimator, LinearRegression):
+        # Spark divides the label by its sample deviation before it applies the penalty; the ridge
+        # is stated for the label itself, and as a sum over the rows of this fit.
+        n, deviation = train.agg(F.count(F.lit(1)), F.stddev_samp(y)).first()
+        estimator = estimator.copy({estimator.regParam:
+                                    estimator.getRegParam() * (deviation or 1.0) / max(1, n)})
     model = fit_pipeline(train.withColumn("__y", y), features, estimator.copy(
         {estimator.getParam("labelCol"): "__y"}), scale)
     return ValueModel(model, tuple(features), log_target, top, unit)
 
 
-def value_candidates(rounds: int = 360, power: float = 1.5, ridge: float = 10.0,
-                     n_train: int = 1) -> dict[str, tuple[Estimator, bool, bool]]:
+# The settings of the value candidates.
+def value_candidates(rounds: int = 360, power: float = RollingSettings.tweedie_power, ridge: float = 10.0
+                     ) -> dict[str, tuple[Estimator, bool, bool]]:
     """name -> (estimator, log target, scaled). ``ridge`` is a penalty on the sum over rows."""
     boosted = dict(maxIter=rounds, maxDepth=3, stepSize=0.035, minInstancesPerNode=8,
                    subsamplingRate=0.85, seed=SEED)
     return {
-        "ridge_log1p": (LinearRegression(elasticNetParam=0.0, regParam=ridge / n_train), True, True),
+        "ridge_log1p": (LinearRegression(elasticNetParam=0.0, regParam=ridge), True, True),
         "boosted_log1p": (GBTRegressor(**boosted), True, False),
         "boosted_squared_error": (GBTRegressor(**boosted), False, False),
         "tweedie": (GeneralizedLinearRegression(
@@ -304,27 +349,43 @@ def fit_hurdle(train: DataFrame, features: Sequence[str], occurrence: Estimator,
     return HurdleModel(chance, size, tuple(features), share, top)
 
 
-def evaluate_value_candidates(dataset: DataFrame, features: Sequence[str], candidates, folds: int
-                              ) -> tuple[DataFrame, DataFrame]:
+def hurdle_parts(rounds: int = 360) -> tuple[Estimator, Estimator]:
+    """Occurrence and magnitude estimators of the hurdle candidate."""
+    settings = dict(maxIter=rounds, maxDepth=3, stepSize=0.035, minInstancesPerNode=8, subsamplingRate=0.85, seed=SEED)
+    return GBTClassifier(**settings), GBTRegressor(**settings)
+
+
+def value_fits(features: Sequence[str], rounds: int = 360) -> dict[str, Callable[[DataFrame], object]]:
+    """name -> a fit of training rows, for each of the five value candidates."""
+    fits: dict[str, Callable[[DataFrame], object]] = {
+        name: (lambda train, c=candidate: fit_value(train, features, *c))
+        for name, candidate in value_candidates(rounds).items()}
+    fits["hurdle"] = lambda train: fit_hurdle(train, features, *hurdle_parts(rounds))
+    return fits
+
+
+def evaluate_value_candidates(dataset: DataFrame, fits: Mapping[str, Callable[[DataFrame], object]],
+                              folds: int) -> tuple[DataFrame, DataFrame]:
     """Grouped cross-validation on train rows and metrics on validation rows, as metric rows.
 
-    ``dataset`` has ``fold`` on its training rows.
+    ``dataset`` has ``fold`` on its training rows. The fits are independent and run side by side.
     """
     train, validation = (dataset.where(F.col("partition") == p) for p in ("train", "validation"))
+    asked = [(name, fold) for name in fits for fold in (*range(folds), None)]
+    fitted = dict(zip(asked, side_by_side([
+        lambda n=name, f=fold: fits[n](train if f is None else train.where(F.col("fold") != f))
+        for name, fold in asked]), strict=True))
     fold_rows, validation_rows = None, None
-    for name, (estimator, log_target, scale) in candidates.items():
+    for name in fits:
         scored = None
         for fold in range(folds):
-            model = fit_value(train.where(F.col("fold") != fold), features, estimator, log_target,
-                              scale)
-            part = model.predict(train.where(F.col("fold") == fold)).select(
+            part = fitted[name, fold].predict(train.where(F.col("fold") == fold)).select(
                 TARGET, "predicted", "fold")
             scored = part if scored is None else scored.unionByName(part)
         rows = evaluation.regression_metrics(scored, TARGET, "predicted", ["fold"]).withColumn(
             "model", F.lit(name))
         fold_rows = rows if fold_rows is None else fold_rows.unionByName(rows)
-        full = fit_value(train, features, estimator, log_target, scale)
-        final = evaluation.regression_metrics(full.predict(validation), TARGET, "predicted"
+        final = evaluation.regression_metrics(fitted[name, None].predict(validation), TARGET, "predicted"
                                               ).withColumn("model", F.lit(name))
         validation_rows = final if validation_rows is None else validation_rows.unionByName(final)
     return fold_rows, validation_rows

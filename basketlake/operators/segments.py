@@ -56,8 +56,9 @@ def _measure(labelled: DataFrame, width: int) -> tuple[float, float]:
 
 
 def search(train: DataFrame, features: Sequence[str], kmeans: Sequence[int] = tuple(range(3, 9)),
-           mixtures: Sequence[int] = tuple(range(2, 9))):
-    """Fit all candidates on scaled training rows.
+           mixtures: Sequence[int] = tuple(range(2, 9)), kmeans_starts: int = 20,
+           mixture_starts: int = 5):
+    """Fit all candidates on scaled training rows, each from several starts, and keep its best.
 
     Returns the preprocessing, the chosen K-means and mixture models, and one report row each.
     K-means wins by silhouette, then Davies-Bouldin; a mixture by BIC, then silhouette.
@@ -66,13 +67,26 @@ def search(train: DataFrame, features: Sequence[str], kmeans: Sequence[int] = tu
     points = materialize(models.transform(prepared, train, features).select("features"))
     n, p = points.count(), len(features)
     rows, fitted = [], {}
+    # Starts are independent fits of many small jobs: a few run side by side.
+    tried = [("kmeans", k, s) for k in kmeans for s in range(kmeans_starts)] + [
+        ("gmm", k, s) for k in mixtures for s in range(mixture_starts)]
+
+    def start(kind: str, k: int, s: int):
+        if kind == "kmeans":
+            return KMeans(k=k, seed=SEED + s, predictionCol="cluster").fit(points)
+        return GaussianMixture(k=k, seed=SEED + s, maxIter=50, predictionCol="cluster").fit(points)
+
+    models_of: dict[tuple[str, int], list] = {}
+    for (kind, k, _), model in zip(tried, models.side_by_side([
+            lambda t=t: start(*t) for t in tried], 8), strict=True):
+        models_of.setdefault((kind, k), []).append(model)
     for k in kmeans:
-        model = KMeans(k=k, seed=SEED, predictionCol="cluster").fit(points)
+        model = min(models_of["kmeans", k], key=lambda m: m.summary.trainingCost)
         silhouette, index = _measure(model.transform(points), p)
         fitted["kmeans", k] = model
         rows.append(("kmeans", k, silhouette, index, float(model.summary.trainingCost), None))
     for k in mixtures:
-        model = GaussianMixture(k=k, seed=SEED, maxIter=50, predictionCol="cluster").fit(points)
+        model = max(models_of["gmm", k], key=lambda m: m.summary.logLikelihood)
         silhouette, index = _measure(model.transform(points), p)
         free = k - 1 + k * p + k * p * (p + 1) // 2
         bic = -2.0 * model.summary.logLikelihood + free * math.log(n)

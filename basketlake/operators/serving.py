@@ -135,11 +135,12 @@ def _filtered(rows: DataFrame, segment_id: int | None, country: str | None,
 
 def segment_customers(customers: DataFrame, segments: DataFrame, segment_id: int,
                       country: str | None = None, value_tier: str | None = None,
-                      limit: int = 5000) -> DataFrame:
+                      limit: int | None = None) -> DataFrame:
     joined = customers.join(segments.select("customer_id", "segment_id"), "customer_id")
-    return (_filtered(joined, segment_id, country, value_tier)
+    rows = (_filtered(joined, segment_id, country, value_tier)
             .select("customer_id", "country", "net_spend", "value_tier")
-            .orderBy(F.desc("net_spend"), "customer_id").limit(limit))
+            .orderBy(F.desc("net_spend"), "customer_id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def monthly_revenue(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -168,7 +169,7 @@ def overview(customers: DataFrame, segments: DataFrame, scores: DataFrame) -> Da
 
 def retention_priority(customers: DataFrame, segments: DataFrame, scores: DataFrame,
                        segment_id: int | None = None, country: str | None = None,
-                       value_tier: str | None = None, limit: int | None = 100) -> DataFrame:
+                       value_tier: str | None = None, limit: int | None = None) -> DataFrame:
     """Scaled risk times scaled value, both scaled inside the filtered population."""
     latest = latest_predictions(scores).select(
         "customer_id", "scored_at", "churn_probability", "predicted_clv_180d")

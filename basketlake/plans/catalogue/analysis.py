@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketlake.functions.columns import r6
-from basketlake.operators import eda
+from basketlake.operators import eda, features
 from basketlake.plans.catalogue.registry import block, query
+from basketlake.plans.workspace import CATEGORIES
 
 block("labelled", """
 SELECT feature_base.*, churn, partition_name FROM feature_base JOIN churn_flags USING (customer_id)
@@ -110,18 +111,29 @@ def histograms(ws):
         "log_spend": "ln(1 + net_spend)"}).select("feature", "bin", "n")
 
 
-_CORRELATED = ("recency_days", "frequency_orders", "gross_spend", "net_spend", "avg_order_value",
-               "avg_basket_units", "customer_tenure_days", "mean_interpurchase_gap_days",
-               "variance_interpurchase_gap_days", "return_rate", "markdown_affinity_proxy",
-               "seasonal_purchase_concentration")
-block("correlation_rows", " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) "
-    "AS r FROM labelled WHERE partition_name = 'train'"
-    for a in _CORRELATED for b in _CORRELATED))
+# Every numeric candidate of the feature table, in the SQL's own spelling.
+_AFFINITIES = ("category_affinity_unknown", *(f"category_affinity_{i:02d}" for i in range(CATEGORIES)))
+_CORRELATED = (*features.FEATURE_NOTES, *_AFFINITIES)
+block("numeric_features", f"""
+SELECT labelled.*, net_spend AS historical_customer_value, engagement_score, unique_product_count,
+       coalesce(mean_product_popularity, 0) AS mean_product_popularity,
+       coalesce(median_product_popularity, 0) AS median_product_popularity,
+       coalesce(max_product_popularity, 0) AS max_product_popularity,
+       coalesce(rare_product_share, 0) AS rare_product_share,
+       {", ".join(f"coalesce({c}, 0) AS {c}" for c in _AFFINITIES)}
+FROM labelled JOIN engagement USING (customer_id)
+JOIN (SELECT customer_id, count(DISTINCT stock_code) AS unique_product_count FROM positive GROUP BY 1)
+  USING (customer_id)
+LEFT JOIN pop_mix USING (customer_id) LEFT JOIN affinity USING (customer_id)""")
+block("correlation_rows", "SELECT unnest([" + ", ".join(
+    f"struct_pack(feature_a := '{a}', feature_b := '{b}', r := CASE WHEN var_pop(CAST({a} AS DOUBLE)) > 0 "
+    f"AND var_pop(CAST({b} AS DOUBLE)) > 0 THEN corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END)"
+    for a in _CORRELATED for b in _CORRELATED)
+    + "], recursive := true) FROM numeric_features WHERE partition_name = 'train'")
 
 
 def _matrix(ws):
-    return eda.correlations(ws.churn_table.where("partition = 'train'"), _CORRELATED)
+    return eda.correlations(ws.churn_table.where("partition = 'train'"), ws.feature_names)
 
 
 @query("g9_correlation_matrix", """

@@ -52,17 +52,29 @@ def quantile_folds(ws):
     return evaluation.stratified_folds(binned, "bin").select("customer_id", "bin", "fold")
 
 
+# Rank bins of log1p of the target over all training snapshots; a customer counts by its highest.
 block("stratum", """
-SELECT customer_id, max(CASE WHEN clv_180d_target = 0 THEN 0 WHEN clv_180d_target < 50000 THEN 1
-                             ELSE 2 END) AS s, count(*) AS n
-FROM rolled_table WHERE partition_name = 'train' GROUP BY customer_id""")
+SELECT customer_id, max(bin) AS s, count(*) AS n FROM (
+  SELECT customer_id, CAST(greatest(ceil((r - 1) * 10.0 / (k - 1)) - 1, 0) AS INTEGER) AS bin
+  FROM (SELECT customer_id, count(*) OVER () AS k, row_number() OVER (
+          ORDER BY ln(1 + clv_180d_target), md5('42|' || snapshot), snapshot) AS r
+        FROM (SELECT *, customer_id || '|' || strftime(cutoff, '%Y-%m-%d') AS snapshot
+              FROM rolled_table WHERE partition_name = 'train'))) GROUP BY customer_id""")
+
+
+def value_folds(train, cfg):
+    """Training snapshots with ``bin`` and ``fold``: no customer in two folds, ten rank bins."""
+    named = train.withColumn("__snapshot", F.concat(
+        "customer_id", F.lit("|"), F.date_format("cutoff_timestamp", "yyyy-MM-dd"))).withColumn(
+        "__target", F.log1p("clv_180d_target"))
+    binned = evaluation.quantile_bins(named, "__target", "__snapshot", cfg.bins)
+    return evaluation.grouped_folds(binned, "bin", cfg.folds).drop("__snapshot", "__target")
 
 
 def _grouped(ws):
-    target = F.col("clv_180d_target")
     rows = ws.rolling_table.where("partition = 'train'").select(
-        "customer_id", F.when(target == 0, 0).when(target < 50000, 1).otherwise(2).alias("stratum"))
-    return evaluation.grouped_folds(rows, "stratum")
+        "customer_id", "cutoff_timestamp", "clv_180d_target")
+    return value_folds(rows, ws.settings.rolling)
 
 
 @query("h4_grouped_folds", """

@@ -12,14 +12,13 @@ from basketlake.operators import (
     evaluation, explain, feature_selection, models, products, rolling, segments, sequences,
     taxonomy)
 from basketlake.plans import jobs
-from basketlake.plans.catalogue.evaluation import category_labels, scored, shown
+from basketlake.plans.catalogue.evaluation import category_labels, scored, shown, value_folds
 from basketlake.plans.catalogue.registry import block, query
 from basketlake.plans.workspace import CATEGORIES, MARKDOWN_RATIO
 from basketlake.settings import BEHAVIOUR_FEATURES
 
 # The production candidate of each family where it is not the first: 200 trees of depth 8.
 CANDIDATES = {"random_forest": 2}
-ROUNDS = 10  # boosting rounds of the registered fits; the families' own defaults are 160 to 360
 
 
 # --- taxonomy -----------------------------------------------------------------------------------
@@ -114,7 +113,7 @@ def selected_features(ws):
 # --- churn --------------------------------------------------------------------------------------
 def _family(ws, name):
     rows = _model(ws, "n_train", lambda: _train(ws).count())
-    return models.churn_families(rows, len(selected_features(ws)), rounds=ROUNDS)[name]
+    return models.churn_families(rows, len(selected_features(ws)))[name]
 
 
 def _churn_model(ws, name):
@@ -149,10 +148,7 @@ for _id, _name in (("h6_churn_logistic_regression", "logistic_regression"),
 def _value_report(ws, name):
     train, validation = (ws.rolling_table.where(F.col("partition") == p)
                          for p in ("train", "validation"))
-    estimator, log_target, scale = models.value_candidates(
-        rounds=ROUNDS, n_train=_model(ws, "n_rolling", train.count))[name]
-    fitted = _model(ws, f"value_{name}", lambda: models.fit_value(
-        train, rolling.CLV_FEATURES, estimator, log_target, scale))
+    fitted = _model(ws, f"value_{name}", lambda: models.value_fits(rolling.CLV_FEATURES)[name](train))
     return evaluation.regression_metrics(
         fitted.predict(validation), models.TARGET, "predicted").withColumn("model", F.lit(name))
 
@@ -166,13 +162,9 @@ for _id, _name in (("h19_value_ridge_log1p", "ridge_log1p"),
 
 @query("h22_value_hurdle")
 def value_hurdle(ws):
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.regression import GBTRegressor
     train, validation = (ws.rolling_table.where(F.col("partition") == p)
                          for p in ("train", "validation"))
-    fitted = models.fit_hurdle(
-        train, rolling.CLV_FEATURES, GBTClassifier(maxIter=ROUNDS, maxDepth=3, seed=42),
-        GBTRegressor(maxIter=ROUNDS, maxDepth=3, seed=42))
+    fitted = _model(ws, "value_hurdle", lambda: models.value_fits(rolling.CLV_FEATURES)["hurdle"](train))
     return fitted.predict(validation).select(
         "customer_id", F.date_format("cutoff_timestamp", "yyyy-MM-dd").alias("cutoff"),
         models.TARGET, "predicted")
@@ -180,18 +172,14 @@ def value_hurdle(ws):
 
 @query("h24_value_cross_validation")
 def value_cross_validation(ws):
-    """Grouped cross-validation of the two linear families on the whole rolling table."""
+    """Grouped cross-validation of all five candidates on the whole rolling table."""
     dataset = ws.rolling_table
-    target = F.col(models.TARGET)
-    train = dataset.where("partition = 'train'").withColumn(
-        "stratum", F.when(target == 0, 0).when(target < 50000, 1).otherwise(2))
-    dealt = evaluation.grouped_folds(train, "stratum").drop("stratum")
+    dealt = value_folds(dataset.where("partition = 'train'"), ws.settings.rolling).drop("bin")
     both = dealt.unionByName(dataset.where("partition = 'validation'").withColumn(
         "fold", F.lit(-1)))
     table = ws.stage("rolling_folds", lambda: both)
-    chosen = {k: v for k, v in models.value_candidates(
-        n_train=_model(ws, "n_rolling", train.count)).items() if k in ("ridge_log1p", "tweedie")}
-    folds, final = models.evaluate_value_candidates(table, rolling.CLV_FEATURES, chosen, 5)
+    folds, final = models.evaluate_value_candidates(
+        table, models.value_fits(rolling.CLV_FEATURES), ws.settings.rolling.folds)
     return evaluation.candidate_summary(folds, final)
 
 
@@ -206,7 +194,7 @@ def category_table(ws):
 def next_category_model(ws):
     table, names = category_table(ws), ws.feature_names
     fitted = _model(ws, "category", lambda: models.fit_next_category(
-        table.where("partition = 'train'"), names, trees=60))
+        table.where("partition = 'train'"), names))
     rows = models.score_next_category(fitted, table.where("partition = 'validation'"), names)
     return evaluation.multiclass_metrics(rows, "class_index", "class_probabilities")
 
@@ -279,7 +267,7 @@ def silhouette(ws):
     return ws.spark.createDataFrame([(4, float(value))], "clusters int, silhouette double")
 
 
-_COORDINATES = ("recency_days", "frequency_orders", "avg_basket_units")
+_COORDINATES = BEHAVIOUR_FEATURES
 _DISTANCE = " + ".join(f"(l.{c} - c.{c}) * (l.{c} - c.{c})" for c in _COORDINATES)
 _APART = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _COORDINATES)
 block("labelled_segments", """
@@ -314,7 +302,7 @@ def segment_assignment(ws):
                            picked)
 
 
-_PROFILED = ("recency_days", "frequency_orders", "net_spend", "avg_order_value", "return_rate")
+_PROFILED = BEHAVIOUR_FEATURES
 
 
 @query("i6_segment_profiles", f"""
@@ -436,7 +424,9 @@ def plain_language(ws):
 @query("k5_partial_dependence")
 def partial_dependence(ws):
     names = selected_features(ws)
-    return explain.partial_dependence(_churn_scorer(ws), _train(ws), names[:3], names)
+    leading = [r.feature for r in churn_permutation_importance(ws).orderBy(
+        F.desc("importance"), "feature").limit(3).collect()]
+    return explain.partial_dependence(_churn_scorer(ws), _train(ws), leading, names)
 
 
 @query("k6_event_masking")

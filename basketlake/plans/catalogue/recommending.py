@@ -101,7 +101,7 @@ SELECT segment_id, stock_code, CAST(quantity AS BIGINT) AS quantity, CAST(place
 FROM (SELECT segment_id, stock_code, quantity, row_number() OVER (
         PARTITION BY segment_id ORDER BY quantity DESC, stock_code) AS place
       FROM (SELECT segment_id, stock_code, sum(quantity) AS quantity FROM marked_lines
-            JOIN segment_map USING (customer_id) WHERE NOT is_holdout AND segment_id <> 3
+            JOIN segment_map USING (customer_id) WHERE NOT is_holdout
             GROUP BY ALL
             UNION ALL SELECT NULL, stock_code, sum(quantity) FROM marked_lines WHERE NOT is_holdout
             GROUP BY stock_code)) WHERE place <= 50""")
@@ -109,7 +109,7 @@ FROM (SELECT segment_id, stock_code, quantity, row_number() OVER (
 
 def _popular(ws):
     return recommend.popular_items(_history(ws).where("NOT is_holdout"),
-                                   segment_map(ws).where("segment_id <> 3"))
+                                   segment_map(ws))
 
 
 @query("j5_popular_items", """
@@ -131,7 +131,7 @@ SELECT customer_id, stock_code, score, CAST(rank AS INTEGER) AS rank FROM (
   FROM (SELECT * FROM tier_rows
         UNION ALL
         SELECT s.customer_id, p.stock_code, 0.0, 2, p.place
-        FROM (SELECT customer_id, CASE WHEN segment_id = 3 THEN NULL ELSE segment_id END AS segment_id
+        FROM (SELECT customer_id, segment_id
               FROM (SELECT DISTINCT customer_id FROM seen) LEFT JOIN segment_map USING (customer_id)) s
         JOIN popular_lists p ON p.segment_id IS NOT DISTINCT FROM s.segment_id
         WHERE (s.customer_id, p.stock_code) NOT IN (SELECT (customer_id, stock_code) FROM seen)

@@ -163,7 +163,7 @@ def segment_summary(ws):
 @query("l5_segment_customers", """
 SELECT customer_id, country, CAST(net_spend AS DOUBLE) AS net_spend, value_tier
 FROM served JOIN served_segments USING (customer_id) WHERE segment_id = 2 AND value_tier = 'high'
-ORDER BY served.net_spend DESC, customer_id LIMIT 5000""")
+ORDER BY served.net_spend DESC, customer_id""")
 def segment_customers(ws):
     rows = serving.segment_customers(served(ws), segments(ws), 2, value_tier="high")
     return rows.withColumn("net_spend", F.col("net_spend").cast("double"))
@@ -202,7 +202,7 @@ scaled AS (SELECT *, CASE WHEN p1 = p0 THEN 1.0 ELSE (p - p0) / (p1 - p0) END AS
 SELECT customer_id, value_tier, segment_id, round(p, 6) AS churn_probability,
        round(v, 6) AS predicted_clv_180d, round(np, 6) AS normalized_churn_probability,
        round(nv, 6) AS normalized_predicted_clv_180d, round(np * nv, 6) AS retention_priority
-FROM scaled ORDER BY np * nv DESC, p DESC, v DESC, customer_id LIMIT 100"""
+FROM scaled ORDER BY np * nv DESC, p DESC, v DESC, customer_id"""
 
 
 def _priority(ws, **filters):

@@ -94,7 +94,7 @@ def build_foundation(lines: DataFrame, taxonomy: DataFrame, n_categories: int, r
 
 def train_models(churn_table: DataFrame, rolling_table: DataFrame, category_table: DataFrame,
                  padded: DataFrame, sequence_scaler: DataFrame, feature_names: Sequence[str],
-                 n_categories: int, cfg: Settings = DEFAULTS, trees: int = 60, depth: int = 8
+                 n_categories: int, cfg: Settings = DEFAULTS, trees: int = 200, depth: int = 8
                  ) -> ModelSet:
     """Fit every production family on train rows; thresholds come from validation rows."""
     names = tuple(feature_names)
@@ -111,13 +111,13 @@ def train_models(churn_table: DataFrame, rolling_table: DataFrame, category_tabl
     threshold = float(evaluation.best_threshold(curve, cfg.selection.min_recall).first().threshold)
 
     dev = rolling_table.where(F.col("partition") == "train")
-    estimator, log_target, scale = models.value_candidates(n_train=dev.count())["ridge_log1p"]
-    value = models.fit_value(dev, rolling.CLV_FEATURES, estimator, log_target, scale)
+    value = models.value_fits(rolling.CLV_FEATURES)["ridge_log1p"](dev)
     category = models.fit_next_category(
-        category_table.where(F.col("partition") == "train"), names, trees, depth)
+        category_table.where(F.col("partition") == "train"), names)
     anomaly = models.fit_anomaly(train, BEHAVIOUR_FEATURES)
-    limit = float(anomaly.errors(validation).agg(F.percentile(
-        F.round("anomaly_score", 6), cfg.selection.anomaly_quantile)).first()[0])
+    errors = materialize(anomaly.errors(validation).select("anomaly_score"))
+    limit = float(errors.select(models.anomaly_threshold(
+        errors, cfg.selection.anomaly_quantile).alias("limit")).first()[0])
     prepared, picked, _ = segments.search(train, BEHAVIOUR_FEATURES, mixtures=())
     assigned = segments.assign(train, BEHAVIOUR_FEATURES, prepared, picked)
     labels = segments.business_labels(segments.profiles(

@@ -25,9 +25,16 @@ def build_session(app: str = "basketlake", master: str | None = None,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder only when none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Without one, only a session inside a single process may use a folder of this machine: executors
+    elsewhere would write to folders that the others cannot see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="basketlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -41,12 +48,14 @@ def materialize(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+FIT_PARTITIONS = "spark.basketlake.fit.partitions"
+
+
 def training_rows(frame: DataFrame) -> DataFrame:
-    """Rows for an iterative fit: materialized once, in at least one partition per core.
+    """Rows for a tree fit, materialized once, in a number of partitions that a setting fixes.
 
-    Coalesced partitions are sized for scans; a fit that passes over the rows dozens of times needs
-    all cores even when the table is small.
+    Bagging is seeded by partition, so the number must not follow the size of the cluster for a fit
+    to be the same on any; set ``spark.basketlake.fit.partitions`` (default 8) to the data.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    rows = materialize(frame)
-    return rows if rows.rdd.getNumPartitions() >= cores else materialize(rows.repartition(cores))
+    n = int(frame.sparkSession.conf.get(FIT_PARTITIONS, "8"))
+    return materialize(frame.repartition(n))

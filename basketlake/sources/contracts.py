@@ -174,8 +174,11 @@ def coerce_batch(upload: DataFrame) -> DataFrame:
         text("customer_id"), text("country"))
 
 
-def batch_violations(upload: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Rules of a batch upload as rows (rule, subject, failures), counted in one pass."""
+def batch_violations(upload: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rules of a batch upload as rows (rule, subject, failures), counted in one pass.
+
+    ``max_rows`` is the caller's own limit; without one a batch may have any size.
+    """
     wrong_columns = int(tuple(upload.columns) != CANONICAL_COLUMNS)
     if wrong_columns:
         return upload.sparkSession.createDataFrame(
@@ -191,12 +194,13 @@ def batch_violations(upload: DataFrame, max_rows: int = 100_000) -> DataFrame:
         F.count_if(infinite).alias("not_finite"))
     return counted.selectExpr(
         "stack(5, 'columns', 0L, 'empty', cast(n = 0 as bigint), "
-        f"'row_limit', greatest(n - {int(max_rows)}L, 0L), 'required_values', missing, "
+        f"'row_limit', {'0L' if max_rows is None else f'greatest(n - {int(max_rows)}L, 0L)'}, "
+        "'required_values', missing, "
         "'finite_price', not_finite) as (rule, failures)"
     ).select("rule", F.lit("batch").alias("subject"), "failures")
 
 
-def validate_batch(upload: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def validate_batch(upload: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Typed batch lines, or an error that names every broken rule."""
     require_clean(batch_violations(upload, max_rows))
     return coerce_batch(upload).withColumn("price", F.col("price").cast("decimal(18,4)"))
