@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions only.
 
-A text's paragraphs (lines, cut after sentence ends) are a set of 64-bit digests. A sketch has three
-tables of eight cells; each digest enters one cell a table, and a cell keeps the count, the xor of its
+A text's paragraphs (lines, cut further at some sentence ends) are a set of 64-bit digests. A sketch has three
+tables of four cells; each digest enters one cell a table, and a cell keeps the count, the xor of its
 digests and the xor of their checks. Two sketches subtract cell by cell, which leaves the digests that
 differ: a cell with one digest (count 1 or -1 and a matching check) gives it away, it is taken out of
 its other cells, and so on until all cells are empty. If they do not become empty, the same texts are
@@ -19,10 +19,12 @@ from pyspark.sql.window import Window
 
 from basketlake.llm.common import tasks
 
-BREAK = r"(?<=[.!?])[ \t]+|\n+"
-TABLES, CELLS = 3, 8
-ROUNDS = 8
-BLOCK_LOAD = 8.0
+# Besides line ends, sentence ends before these capitals cut paragraphs: the cuts depend on what is
+# around them alone, so equal passages are cut alike, and short documents still have several.
+CUT_BEFORE = "AD"
+TABLES, CELLS = 3, 4
+ROUNDS = 6
+BLOCK_LOAD = 4.0
 BUCKET_ROWS = 2000
 MOST_BUCKETS = 1_000_000
 
@@ -34,35 +36,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text."""
-    parts = F.filter(F.split(text, BREAK), lambda p: p != "")
+    cut = text
+    for letter in CUT_BEFORE:
+        cut = F.replace(cut, F.lit(f". {letter}"), F.lit(f".\n{letter}"))
+    parts = F.filter(F.split(cut, "\n"), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _xor(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-
-
 def _check(key: Column) -> Column:
     """A hash of the digest that is independent of its cells."""
     return F.xxhash64(key, F.lit(1))
 
 
 def _place(key: Column, table: int) -> Column:
-    return F.shiftrightunsigned(key, 3 * table).bitwiseAND(F.lit(CELLS - 1))
+    return F.shiftrightunsigned(key, 2 * table).bitwiseAND(F.lit(CELLS - 1))
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.alias("n"), key.alias("key"), check.alias("check"))
 
 
+def _signed(keys: Column, sign: int) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("key"), _check(k).alias("check")))
+
+
+def _sketch(entries: Column) -> Column:
+    """Cells of signed digests, table after table."""
+    def one(pairs: Column, table: int) -> Column:
+        return F.transform(F.array(*[F.lit(i).cast("bigint") for i in range(CELLS)]), lambda i: F.aggregate(
+            F.filter(pairs, lambda p: _place(p["key"], table) == i), _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")),
+            lambda c, p: _cell(c["n"] + p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(p["check"]))))
+
+    return let(entries, lambda pairs: F.concat(*[one(pairs, t) for t in range(TABLES)]))
+
+
 def cells(keys: Column) -> Column:
-    """The sketch of an array of digests: its cells, table after table."""
-    def one(table: int) -> Column:
-        return F.transform(F.array(*[F.lit(i).cast("bigint") for i in range(CELLS)]), lambda i: let(
-            F.filter(keys, lambda k: _place(k, table) == i),
-            lambda own: _cell(F.size(own), _xor(own), _xor(F.transform(own, _check)))))
+    """The sketch of an array of digests."""
+    return _sketch(_signed(keys, 1))
 
-    return F.concat(*[one(t) for t in range(TABLES)])
+
+def difference(left: Column, right: Column) -> Column:
+    """The sketch of one set minus that of another, which is the sketch of both with signs."""
+    return _sketch(F.concat(_signed(left, 1), _signed(right, -1)))
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -71,70 +86,84 @@ def subtract(left: Column, right: Column) -> Column:
 
 
 def peel(difference: Column) -> Column:
-    """(done, only_left, only_right): digests recovered from a difference of sketches.
+    """(done, left, right): digests recovered that only the one or only the other side has.
 
-    A round takes out every digest that stands alone in a cell. It is done when all cells are empty.
+    A round takes out every digest that stands alone in a cell; rounds end when there is none. It is
+    done when all cells are empty.
     """
-    def taken(cell: Column, at: Column, alone: Column) -> Column:
-        own = F.filter(alone, lambda p: F.when(at < CELLS, _place(p["key"], 0)).when(
-            at < 2 * CELLS, _place(p["key"], 1)).otherwise(_place(p["key"], 2)) == F.pmod(at, F.lit(CELLS)))
-        return F.aggregate(own, cell, lambda c, p: _cell(
-            c["n"] - p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(_check(p["key"]))))
-
-    def step(state: Column, _: Column) -> Column:
-        alone = F.array_distinct(F.transform(
-            F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"])),
-            lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
-        return let(alone, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
-            F.transform(state["cells"], lambda c, i: taken(c, i, found)).alias("cells"),
-            (state["left"] + F.size(F.filter(found, lambda p: p["n"] == 1))).alias("left"),
-            (state["right"] + F.size(F.filter(found, lambda p: p["n"] == -1))).alias("right"))))
-
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    def taken(sketch: Column, table: int, alone: Column) -> Column:
+        return F.transform(F.slice(sketch, table * CELLS + 1, CELLS), lambda cell, i: F.aggregate(
+            F.filter(alone, lambda p: _place(p["key"], table) == i), cell, lambda c, p: _cell(
+                c["n"] - p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(p["check"]))))
+
+    def state(sketch: Column, left: Column, right: Column, stop: Column) -> Column:
+        return F.struct(sketch.alias("cells"), left.alias("left"), right.alias("right"), stop.alias("stop"))
+
+    def step(s: Column, _: Column) -> Column:
+        alone = F.array_distinct(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"])))
+        return F.when(s["stop"], s).otherwise(let(alone, lambda found: F.when(
+            F.size(found) == 0, state(s["cells"], s["left"], s["right"], F.lit(True))).otherwise(state(
+                F.concat(*[taken(s["cells"], t, found) for t in range(TABLES)]),
+                s["left"] + F.size(F.filter(found, lambda p: p["n"] == 1)),
+                s["right"] + F.size(F.filter(found, lambda p: p["n"] == -1)), F.lit(False)))))
+
     rounds = F.array(*[F.lit(i) for i in range(ROUNDS)])
-    return F.aggregate(rounds, start, step, lambda s: F.struct(
+    return F.aggregate(rounds, state(difference, F.lit(0), F.lit(0), F.lit(False)), step, lambda s: F.struct(
         F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)).alias("done"),
         s["left"].alias("left"), s["right"].alias("right")))
 
 
-def blocks(keys: Column, level: Column) -> Column:
-    """The digests in 2 ** level blocks by their upper bits, halved level by level."""
-    steps = F.slice(F.array(*[F.lit(i) for i in range(1, 41)]), F.lit(1), level)
+def blocks(keys: Column, level: Column, above: Column) -> Column:
+    """The digests in 2 ** level blocks by their bits from ``above`` on, halved level by level."""
+    steps = F.slice(F.array(*[F.lit(i) for i in range(1, 45)]), above + 1, level)
 
     def halve(groups: Column, step: Column) -> Column:
-        bit = lambda k: F.call_function("shiftrightunsigned", k, step + 20).bitwiseAND(F.lit(1))
+        bit = lambda k: F.call_function("shiftrightunsigned", k, step + 15).bitwiseAND(F.lit(1))
         return F.flatten(F.transform(groups, lambda g: F.array(
             F.filter(g, lambda k: bit(k) == 0), F.filter(g, lambda k: bit(k) == 1))))
 
     return F.aggregate(steps, F.array(keys), halve)
 
 
-def _blockwise(left: Column, right: Column, level: Column) -> Column:
-    """Recovery with one sketch a block; done if every block is."""
-    each = F.zip_with(blocks(left, level), blocks(right, level), lambda a, b: F.when(
-        (F.size(a) == 0) & (F.size(b) == 0), F.struct(F.lit(True).alias("done"), F.lit(0).alias("left"), F.lit(0).alias("right"))
-    ).otherwise(peel(subtract(cells(a), cells(b)))))
-    start = F.struct(F.lit(True).alias("done"), F.lit(0).alias("left"), F.lit(0).alias("right"))
-    return F.aggregate(each, start, lambda s, x: F.struct(
-        (s["done"] & x["done"]).alias("done"), (s["left"] + x["left"]).alias("left"),
-        (s["right"] + x["right"]).alias("right")))
+def _result(done: Column, left: Column, right: Column) -> Column:
+    return F.struct(done.alias("done"), left.alias("left"), right.alias("right"))
+
+
+def _blockwise(left: Column, right: Column, level: Column, above: Column, retry) -> Column:
+    """Recovery with one sketch a block; ``retry(a, b)`` gives the result of a block that fails."""
+    def one(a: Column, b: Column) -> Column:
+        return F.when((F.size(a) == 0) & (F.size(b) == 0), _result(F.lit(True), F.lit(0), F.lit(0))).otherwise(
+            let(peel(difference(a, b)), lambda r: F.when(r["done"], r).otherwise(retry(a, b))))
+
+    each = F.zip_with(blocks(left, level, above), blocks(right, level, above), one)
+    return F.aggregate(each, _result(F.lit(True), F.lit(0), F.lit(0)), lambda s, x: _result(
+        s["done"] & x["done"], s["left"] + x["left"], s["right"] + x["right"]))
 
 
 def recovered(left: Column, left_cells: Column, right: Column, right_cells: Column) -> Column:
     """Numbers of digests only in one of two texts, from sketches made larger until they peel.
 
-    After the base sketch come block sketches for the load of both sets, then twice, four times and
-    sixteen times as many blocks. Should the last fail too, the sets are compared directly.
+    After the base sketch come block sketches for the load of both sets; a block that fails is
+    sketched again as eight, and one of those as eight more. What fails even then (two digests with
+    equal cells all through) is compared directly.
     """
-    start = F.greatest(F.lit(1), F.ceil(F.log2((F.size(left) + F.size(right)) / F.lit(BLOCK_LOAD)))).cast("int")
+    level = F.greatest(F.lit(1), F.ceil(F.log2((F.size(left) + F.size(right)) / F.lit(BLOCK_LOAD)))).cast("int")
+
+    def direct(a: Column, b: Column) -> Column:
+        return _result(F.lit(True), F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
+
+    def third(a: Column, b: Column) -> Column:
+        return _blockwise(a, b, F.lit(3), level + 3, direct)
 
-    def attempt(grow: int, rest: Column) -> Column:
-        return let(_blockwise(left, right, start + grow), lambda r: F.when(r["done"], r).otherwise(rest))
+    def second(a: Column, b: Column) -> Column:
+        return _blockwise(a, b, F.lit(3), level, third)
 
-    last = F.struct(F.lit(True).alias("done"), F.size(F.array_except(left, right)).alias("left"),
-                    F.size(F.array_except(right, left)).alias("right"))
-    chain = attempt(0, attempt(1, attempt(4, last)))
-    return let(peel(subtract(left_cells, right_cells)), lambda r: F.when(r["done"], r).otherwise(chain))
+    # counts of one table that differ by more than there are cells leave more digests than can peel
+    apart = F.aggregate(F.zip_with(F.slice(left_cells, 1, CELLS), F.slice(right_cells, 1, CELLS),
+                                   lambda a, b: F.abs(a["n"] - b["n"])), F.lit(0), lambda t, x: t + x)
+    base = F.when(apart > TABLES * CELLS, _result(F.lit(False), F.lit(0), F.lit(0))).otherwise(
+        peel(subtract(left_cells, right_cells)))
+    return let(base, lambda r: F.when(r["done"], r).otherwise(_blockwise(left, right, level, F.lit(0), second)))
 
 
 def likeness(left: Column, left_cells: Column, right: Column, right_cells: Column) -> Column:
@@ -147,13 +176,13 @@ def likeness(left: Column, left_cells: Column, right: Column, right_cells: Colum
 
 
 def listed(sketch: Column) -> Column:
-    """The sketch as text: hexadecimal count, xor and check of every cell; empty cells are empty."""
-    return F.concat_ws(";", F.transform(sketch, lambda c: F.when(c["n"] == 0, F.lit("")).otherwise(
-        F.concat_ws(".", F.lower(F.hex(c["n"])), F.lower(F.hex(c["key"])), F.lower(F.hex(c["check"]))))))
+    """The sketch as text: count, and hexadecimal xor and check of every cell; empty cells are empty."""
+    return F.lower(F.array_join(F.transform(sketch, lambda c: F.when(c["n"] == 0, F.lit("")).otherwise(
+        F.concat(c["n"].cast("string"), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(c["check"])))), ";"))
 
 
 def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Each row (doc_id, text, keys) beside the next one's text and keys in descending id order.
+    """Each row (doc_id, text) with its digests beside the next one's, in descending id order.
 
     The first row follows the last. Rows go to buckets of consecutive ids, cut at quantiles, in one
     shuffle; only each bucket's first row travels further, to the bucket before. Null ids come last,
@@ -181,18 +210,24 @@ def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
                          lambda s: -s["low"])
     dealt = rows.withColumn("bucket", bucket if cuts else F.lit(0)).withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
-    chained = dealt.withColumn("after", F.lead(F.struct("text", "keys")).over(order)).withColumn(
-        "nth", F.row_number().over(order))
-    heads = chained.where("nth = 1").select("bucket", F.struct("text", "keys").alias("head"))
-    # one row a bucket: its number alone meets the others in a window
-    chain = dealt.select("bucket").distinct()
+    chained = dealt.withColumn("keys", digests(F.col("text"))).withColumn(
+        "after_text", F.lead("text").over(order)).withColumn("after_keys", F.lead("keys").over(order))
+    # the first row of each bucket: ids and ties alone are compared, then its text is looked up
+    least = dealt.groupBy("bucket").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("missing"), F.bitwise_not("doc_id").alias("behind"), "tie")).alias("first"))
     turn = Window.orderBy("bucket")
-    following = chain.withColumn("then", F.lead("bucket").over(turn)).withColumn(
-        "then", F.coalesce("then", F.min("bucket").over(Window.orderBy("bucket").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing))))
-    firsts = heads.withColumnRenamed("bucket", "then").join(following, "then").select("bucket", "head")
-    return chained.join(firsts, "bucket").select(
-        "doc_id", "text", "keys", F.coalesce("after", "head").alias("after"))
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = least.select(  # one small row a bucket
+        F.coalesce(F.lag("bucket").over(turn), F.max("bucket").over(whole)).alias("before"),
+        F.bitwise_not(F.col("first.behind")).alias("head_id"), F.col("first.tie").alias("head_tie"))
+    # a row for each bucket at most, of which there are MOST_BUCKETS at most: the broadcast is bounded
+    heads = rows.withColumn("tie", F.xxhash64("text")).join(
+        F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    ).dropDuplicates(["before"]).select(F.col("before").alias("bucket"), F.col("text").alias("head_text"))
+    joined = chained.join(heads, "bucket")
+    return joined.select(
+        "doc_id", "text", "keys", F.coalesce("after_text", "head_text").alias("after_text"),
+        F.when(F.col("after_text").isNull(), digests(F.col("head_text"))).otherwise(F.col("after_keys")).alias("after_keys"))
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,12 +237,12 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     be (1). A single row is its own neighbour. Repeated rows stay rows. An empty table gives none.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    paired = with_next(rows.withColumn("keys", digests(F.col("text"))))
+    paired = with_next(rows)
     size = F.char_length("text")
     third = F.floor(size / 3).cast("int")
-    edited = F.concat(F.left("text", size - third), F.left(F.col("after.text"), third))
+    edited = F.concat(F.left("text", size - third), F.left("after_text", third))
     out = paired.select("doc_id", size.cast("bigint").alias("n_chars"), "keys",
-                        F.col("after.keys").alias("next_keys"), edited.alias("edited"))
+                        F.col("after_keys").alias("next_keys"), edited.alias("edited"))
     out = out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn(
         "edited_keys", digests(F.col("edited"))).drop("edited")
     for name in ("", "edited_", "next_"):
