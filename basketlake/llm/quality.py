@@ -48,9 +48,16 @@ class Features:
 
         crc, mask = zlib.crc32, self.mask
         found = [crc(word, 1) & mask]
-        marked = "<" + word.decode("utf-8", "replace") + ">"
-        for n in range(self.settings.grams[0], self.settings.grams[1] + 1):
-            found += [crc(marked[i:i + n].encode("utf-8", "replace"), n) & mask for i in range(len(marked) - n + 1)]
+        low, high = self.settings.grams
+        if word.isascii():  # characters are bytes
+            marked = b"<" + word + b">"
+            for n in range(low, high + 1):
+                found += [crc(marked[i:i + n], n) & mask for i in range(len(marked) - n + 1)]
+        else:
+            letters = "<" + word.decode("utf-8", "replace") + ">"
+            for n in range(low, high + 1):
+                found += [crc(letters[i:i + n].encode("utf-8", "replace"), n) & mask
+                          for i in range(len(letters) - n + 1)]
         return np.array(found, np.int32)
 
     def learn(self, words: list[bytes]) -> None:
