@@ -6,6 +6,7 @@ parameters and metrics.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -280,11 +281,12 @@ def fit_value(train: DataFrame, features: Sequence[str], estimator: Estimator, l
     unit = 1.0 if log_target or mean <= 0 else mean
     y = F.log1p(TARGET) if log_target else F.col(TARGET).cast("double") / unit
     if isinstance(estimator, LinearRegression):
-        # Spark divides the label by its sample deviation before it applies the penalty; the ridge
-        # is stated for the label itself, and as a sum over the rows of this fit.
+        # Spark divides the label by its deviation before it applies the penalty, and scales features
+        # of unit sample deviation once more by n / (n - 1); the ridge is stated for the label itself,
+        # and as a sum over the rows of this fit.
         n, deviation = train.agg(F.count(F.lit(1)), F.stddev_samp(y)).first()
-        estimator = estimator.copy({estimator.regParam:
-                                    estimator.getRegParam() * (deviation or 1.0) / max(1, n)})
+        factor = (deviation or 1.0) * math.sqrt(n / max(1, n - 1)) / max(1, n)
+        estimator = estimator.copy({estimator.regParam: estimator.getRegParam() * factor})
     model = fit_pipeline(train.withColumn("__y", y), features, estimator.copy(
         {estimator.getParam("labelCol"): "__y"}), scale)
     return ValueModel(model, tuple(features), log_target, top, unit)

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from basketlake.functions import smoothing
 from basketlake.functions.distributed import exact_quantiles
 
 # Columns of an exported batch result, in order, with their types.
@@ -222,19 +222,33 @@ def revenue_forecast(revenue: DataFrame, key: str, periods: int = 6, season: int
     """History and forecast of every series: (key, period, revenue, series, method).
 
     At least two seasons: damped trend with additive season; at least three months: damped trend;
-    otherwise the last value repeats. Forecasts never fall below zero. A series is one value per
-    month, so a group stays small however large the sales behind it are.
+    otherwise the last value repeats. Forecasts never fall below zero. Every series is tried with
+    every row of the weight grid, each in a row of its own, and keeps the one with the least squared
+    error. A series is one value per month, so its array stays small however large the sales are.
     """
-    from basketlake.functions.smoothing import forecast_series
-
-    schema = T.StructType([
-        T.StructField(key, T.StringType()), T.StructField("period", T.StringType()),
-        T.StructField("revenue", T.DoubleType()), T.StructField("series", T.StringType()),
-        T.StructField("method", T.StringType())])
-
-    def one(pdf):
-        return forecast_series(pdf, key, periods, season)
-
-    return filled_months(revenue, [key]).groupBy(key).applyInPandas(one, schema)
-
-
+    listed = filled_months(revenue, [key]).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("month", "revenue"))).alias("points"))
+    series = listed.select(key, "points", F.col("points.revenue").alias("values"), F.size("points").alias("n"))
+    long, short = F.col("n") >= 2 * season, F.col("n") >= 3
+
+    def fitted(rows: DataFrame, length: int, method: str) -> DataFrame:
+        tried = rows.withColumn("w", F.explode(smoothing.grid_column(bool(length)))).withColumn(
+            "state", smoothing.smoothed(F.col("values"), F.col("w"), length))
+        best = tried.groupBy(key).agg(
+            F.min_by(F.struct("points", "state", "w"), F.struct("state.squares", "w.place")).alias("b"))
+        return best.select(key, "b.points", smoothing.ahead(
+            F.col("b.state"), F.col("b.w.damp"), periods, length).alias("future"), F.lit(method).alias("method"))
+
+    every = (fitted(series.where(long), season, f"additive trend and {season}-month season")
+             .unionByName(fitted(series.where(~long & short), 0, "damped trend"))
+             .unionByName(series.where(~short).select(
+                 key, "points", F.array_repeat(F.element_at("values", -1), periods).alias("future"),
+                 F.lit("last value").alias("method"))))
+    last = F.element_at("points", -1)["month"]
+    known = F.transform("points", lambda p: F.struct(
+        p["month"].alias("month"), p["revenue"].alias("revenue"), F.lit("history").alias("series")))
+    coming = F.transform("future", lambda v, i: F.struct(
+        F.add_months(last, (i + 1).cast("int")).alias("month"), F.greatest(v, F.lit(0.0)).alias("revenue"),
+        F.lit("forecast").alias("series")))
+    return every.select(key, "method", F.explode(F.concat(known, coming)).alias("p")).select(
+        key, F.date_format("p.month", "yyyy-MM").alias("period"), "p.revenue", "p.series", "method")

@@ -27,8 +27,14 @@ def query(name: str, sql: str | None = None):
 BLOCKS: dict[str, str] = {}
 
 
-def block(name: str, sql: str) -> None:
+RECURSIVE: set[str] = set()
+
+
+def block(name: str, sql: str, recursive: bool = False) -> None:
+    """A named part of statements; a recursive one refers to itself."""
     BLOCKS[name] = sql
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def _needs(sql: str) -> list[str]:
@@ -54,7 +60,7 @@ def statement(sql: str) -> str:
     head = ",\n".join(f"{name} AS (\n{BLOCKS[name].strip()}\n)" for name in ordered)
     if own.upper().startswith("WITH "):
         own = ", " + own[5:]
-    return f"WITH {head}\n{own}"
+    return f"WITH {'RECURSIVE ' if RECURSIVE & set(ordered) else ''}{head}\n{own}"
 
 
 block("canonical", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketlake.functions import smoothing
 from basketlake.functions.columns import r6
 from basketlake.functions.timing import stamp
 from basketlake.operators import serving, sequences
@@ -232,26 +233,75 @@ def latest_country(ws):
     return serving.latest_country(ws.clean)
 
 
-@query("l13_revenue_forecast")
+# The recurrences of the forecast, one row a series, grid row and month.
+block("series_months", """
+SELECT key, m + to_months(CAST(i AS INTEGER)) AS month, i AS t, n FROM (
+  SELECT key, min(month) AS m, datediff('month', min(month), max(month)) + 1 AS n FROM series_revenue GROUP BY key),
+  (SELECT unnest(range(0, 2000)) AS i) WHERE i < n""")
+block("series_values", """
+SELECT key, n, max(month) AS last, list(coalesce(revenue, 0.0) ORDER BY t) AS v
+FROM series_months LEFT JOIN series_revenue USING (key, month) GROUP BY key, n""")
+block("weight_grid", f"""
+SELECT seasonal, lw, tw, sw, d, row_number() OVER (PARTITION BY seasonal ORDER BY lw, tw, sw, d) AS place
+FROM (SELECT unnest({list(smoothing.LEVELS)}::DOUBLE[]) AS lw), (SELECT unnest({list(smoothing.TRENDS)}::DOUBLE[]) AS tw),
+     (SELECT TRUE AS seasonal, unnest({list(smoothing.SEASONS)}::DOUBLE[]) AS sw UNION ALL SELECT FALSE, 0.0),
+     (SELECT unnest({list(smoothing.DAMPINGS)}::DOUBLE[]) AS d)""")
+block("smoothing_run", """
+SELECT key, seasonal, place, lw, tw, sw, d, n, v, last, CAST(0 AS BIGINT) AS t,
+       CASE WHEN seasonal THEN list_avg(v[1:12]) ELSE v[1] END AS level,
+       CASE WHEN seasonal THEN (list_avg(v[13:24]) - list_avg(v[1:12])) / 12 ELSE v[2] - v[1] END AS slope,
+       CASE WHEN seasonal THEN list_transform(v[1:12], lambda x: x - list_avg(v[1:12])) ELSE [0.0::DOUBLE] END AS ring,
+       0.0::DOUBLE AS squares
+FROM series_values JOIN weight_grid ON seasonal = (n >= 24) WHERE n >= 3
+UNION ALL
+SELECT key, seasonal, place, lw, tw, sw, d, n, v, last, t + 1, now,
+       tw * (now - level) + (1 - tw) * d * slope,
+       CASE WHEN seasonal THEN list_append(ring[2:12], sw * (x - now) + (1 - sw) * ring[1]) ELSE ring END,
+       squares + (x - (level + d * slope + ring[1])) * (x - (level + d * slope + ring[1]))
+FROM (SELECT *, v[t + 1] AS x, lw * (v[t + 1] - ring[1]) + (1 - lw) * (level + d * slope) AS now
+      FROM smoothing_run WHERE t < n)""", recursive=True)
+block("series_forecast", """
+SELECT key, last + to_months(CAST(h AS INTEGER)) AS month, method, greatest(CASE WHEN method = 'last value' THEN level
+         ELSE level + list_sum(list_transform(range(1, h + 1), lambda i: d ** i)) * slope
+              + CASE WHEN seasonal THEN ring[h] ELSE 0 END END, 0.0) AS revenue
+FROM (SELECT key, last, seasonal, d, level, slope, ring,
+             CASE WHEN seasonal THEN 'additive trend and 12-month season' ELSE 'damped trend' END AS method
+      FROM smoothing_run WHERE t = n QUALIFY row_number() OVER (PARTITION BY key ORDER BY squares, place) = 1
+      UNION ALL SELECT key, last, FALSE, 0.0, v[-1], 0.0, [0.0], 'last value' FROM series_values WHERE n < 3),
+  (SELECT unnest(range(1, 7)) AS h)""")
+block("series_rows", """
+SELECT key, strftime(month, '%Y-%m') AS period, revenue, 'forecast' AS series, method FROM series_forecast
+UNION ALL SELECT key, strftime(month, '%Y-%m'), coalesce(revenue, 0.0), 'history', method
+FROM series_months LEFT JOIN series_revenue USING (key, month)
+JOIN (SELECT DISTINCT key, method FROM series_forecast) USING (key)""")
+block("series_revenue", """
+SELECT country AS key, date_trunc('month', invoice_date) AS month, CAST(sum(quantity * price) AS DOUBLE) AS revenue
+FROM cleaned WHERE is_valid_merchandise GROUP BY 1, 2""")
+
+
+@query("l13_revenue_forecast", """
+SELECT key AS country, period, CASE WHEN series = 'history' THEN revenue ELSE round(revenue, 2) END AS revenue,
+       series, method FROM series_rows""")
 def revenue_forecast(ws):
-    return serving.revenue_forecast(serving.monthly_revenue(ws.clean, ["country"]), "country")
+    rows = serving.revenue_forecast(serving.monthly_revenue(ws.clean, ["country"]), "country")
+    return rows.withColumn("revenue", F.when(F.col("series") == "history", F.col("revenue")).otherwise(
+        F.round("revenue", 2)))
 
 
-# A history of two months per country leaves only the last-value rule, which SQL can state.
+# Customers bought in few months: many have too short a series for any trend.
 @query("l13_last_value_forecast", """
-SELECT country, strftime(m + to_months(CAST(h AS INTEGER)), '%Y-%m') AS period, revenue FROM (
-  SELECT country, date_trunc('month', invoice_date) AS m,
-         greatest(CAST(sum(quantity * price) AS DOUBLE), 0.0) AS revenue
-  FROM cleaned WHERE is_valid_merchandise AND invoice_date >= TIMESTAMP '2001-06-01'
-    AND invoice_date < TIMESTAMP '2001-08-01' GROUP BY 1, 2
-  QUALIFY row_number() OVER (PARTITION BY country ORDER BY m DESC) = 1),
+SELECT customer_id, strftime(m + to_months(CAST(h AS INTEGER)), '%Y-%m') AS period, revenue FROM (
+  SELECT customer_id, date_trunc('month', invoice_date) AS m,
+         greatest(CAST(sum(quantity * price) AS DOUBLE), 0.0) AS revenue,
+         datediff('month', min(date_trunc('month', invoice_date)) OVER (PARTITION BY customer_id),
+                  max(date_trunc('month', invoice_date)) OVER (PARTITION BY customer_id)) + 1 AS n
+  FROM cleaned WHERE is_valid_merchandise AND customer_id IS NOT NULL GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY m DESC) = 1 AND n < 3),
   (SELECT unnest(range(1, 7)) AS h)""")
 def last_value_forecast(ws):
-    date = F.col("invoice_date")
-    recent = ws.clean.where((date >= F.lit("2001-06-01").cast("timestamp_ntz"))
-                            & (date < F.lit("2001-08-01").cast("timestamp_ntz")))
-    rows = serving.revenue_forecast(serving.monthly_revenue(recent, ["country"]), "country")
-    return rows.where("series = 'forecast'").select("country", "period", "revenue")
+    bought = ws.clean.where("customer_id is not null")
+    rows = serving.revenue_forecast(serving.monthly_revenue(bought, ["customer_id"]), "customer_id")
+    return rows.where("series = 'forecast' and method = 'last value'").select("customer_id", "period", "revenue")
 
 
 @query("l14_view_kpis", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -52,7 +53,8 @@ def main() -> None:
     wanted = sys.argv[2:]
     spark = build_session(master="local[8]", extra={
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.driver.memory": "12g"})
+        "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     failed = []

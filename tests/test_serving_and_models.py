@@ -12,7 +12,6 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from basketlake.functions.smoothing import forecast_series
 from basketlake.operators import (
     cleaning, eda, evaluation, explain, feature_selection, models, products, recommend, segments,
     serving, taxonomy)
@@ -142,20 +141,23 @@ def test_retention_priority_goldens(spark):
     assert none == []
 
 
-def test_forecast_methods():
-    def run(n):
-        months = pd.date_range("2020-01-01", periods=n, freq="MS")
-        season = [100 + 10 * (i % 12) + i for i in range(n)]
-        return forecast_series(pd.DataFrame({"k": "a", "month": months, "revenue": np.array(
-            season, dtype=float)}), "k", 6, 12)
+def test_forecast_methods(spark):
+    def months(name, n):
+        return [(name, str(m)[:7], float(100 + 10 * (i % 12) + i))
+                for i, m in enumerate(pd.date_range("2020-01-01", periods=n, freq="MS"))]
 
-    assert run(24).method.iloc[0].endswith("season") and run(6).method.iloc[0] == "damped trend"
-    short = run(2)
-    assert short.method.iloc[0] == "last value" and (short.revenue[short.series == "forecast"] == 111).all()
-    long = run(48)
-    ahead = long.revenue[long.series == "forecast"].to_numpy()
-    assert len(ahead) == 6 and np.abs(ahead - [148, 159, 170, 181, 192, 203]).max() < 25
-    assert (long.revenue >= 0).all()
+    lengths = {"one": 1, "short": 2, "trend": 6, "season": 24, "long": 48}
+    frame = spark.createDataFrame([r for name, n in lengths.items() for r in months(name, n)]
+                                  + [("below", "2021-01", -5.0)], "k string, period string, revenue double")
+    rows = serving.revenue_forecast(frame, "k").toPandas()
+    method = rows.groupby("k").method.first()
+    assert method["season"].endswith("season") and method["trend"] == "damped trend"
+    assert method["short"] == method["one"] == "last value"
+    ahead = {k: g.sort_values("period").revenue.to_numpy() for k, g in rows[rows.series == "forecast"].groupby("k")}
+    assert all(len(v) == 6 for v in ahead.values())
+    assert (ahead["short"] == 111).all() and (ahead["one"] == 100).all() and (ahead["below"] == 0).all()
+    assert np.abs(ahead["long"] - [148, 159, 170, 181, 192, 203]).max() < 25
+    assert sorted(rows[(rows.k == "short") & (rows.series == "forecast")].period) == [f"2020-{m:02d}" for m in range(3, 9)]
 
 
 def test_gaps_in_months_count_as_zero(spark):
@@ -198,7 +200,7 @@ def training(spark):
 def test_model_contracts(training):
     names = ["a", "b", "c"]
     train, validation = (training.where(F.col("partition") == p) for p in ("train", "validation"))
-    family = models.churn_families(160, 3, rounds=5)["logistic_regression"]
+    family = models.churn_families(160, 3)["logistic_regression"]
     scored = models.score_binary(models.fit_binary(train, names, family), validation, names)
     assert scored.where("probability_1 not between 0 and 1").count() == 0
     assert models.binary_report(scored, "lr").first().roc_auc > 0.8
@@ -218,6 +220,35 @@ def test_model_contracts(training):
     assert drivers.count() == 80 * 3
 
 
+def test_ridge_is_the_closed_form(training):
+    names = ["a", "b", "c"]
+    train = training.where("partition = 'train'")
+    pdf = train.select(*names, "clv_180d_target").toPandas().astype(float)
+    x = (pdf[names] - pdf[names].mean()) / pdf[names].std()
+    y = np.log1p(pdf["clv_180d_target"])
+    for ridge in (10.0, 200.0):
+        candidate = models.value_candidates(ridge=ridge)["ridge_log1p"]
+        fitted = models.fit_value(train, names, *candidate).pipeline.stages[-1]
+        want = np.linalg.solve(x.T @ x + ridge * np.eye(3), x.T @ (y - y.mean()))
+        assert np.allclose(fitted.coefficients.toArray(), want, atol=1e-6)
+
+
+def test_macro_f1_counts_classes_alike(spark):
+    rows = [(0.0, 0.0)] * 8 + [(0.0, 1.0), (1.0, 1.0), (2.0, 0.0)]
+    frame = spark.createDataFrame(rows, "y double, prediction double")
+    want = np.mean([16 / 18, 2 / 3, 0.0])
+    assert models.multiclass_evaluator("y").evaluate(frame) == pytest.approx(want)
+
+
+def test_every_value_candidate_is_evaluated(training):
+    names = ["a", "b", "c"]
+    table = training.withColumn("fold", F.pmod(F.xxhash64("customer_id"), F.lit(2)).cast("int"))
+    fits = models.value_fits(names, rounds=2)
+    assert set(fits) == {"ridge_log1p", "boosted_log1p", "boosted_squared_error", "tweedie", "hurdle"}
+    folds, final = models.evaluate_value_candidates(table, fits, 2)
+    assert folds.count() == 10 and {r.model for r in final.collect()} == set(fits)
+
+
 def test_schema_drops_constants_and_copies(training):
     table = training.withColumn("a2", F.col("a") + 0.1 * F.sin(17 * F.col("customer_id").cast("int")))
     rows = {r.feature: r for r in feature_selection.freeze_schema(
