@@ -137,7 +137,15 @@ def batch_validation(ws):
     return contracts.batch_violations(upload, 50_000).select("rule", "failures")
 
 
-@query("a8_parquet_sinks")
+@query("a8_parquet_sinks", """
+SELECT count(*) AS n_rows, 'transactions_clean' AS table_name FROM cleaned
+UNION ALL SELECT count(*), 'outlier_audit' FROM fitted WHERE is_statistical_outlier
+UNION ALL SELECT count(*), 'customer_split' FROM split_table
+UNION ALL SELECT count(*), 'customer_features_churn' FROM feature_base JOIN split_table USING (customer_id)
+UNION ALL SELECT count(*), 'customer_features_clv' FROM split_table
+UNION ALL SELECT count(*), 'product_taxonomy' FROM catalogue
+UNION ALL SELECT count(*), 'product_reference_prices' FROM prices
+UNION ALL SELECT count(*), 'product_frequency_encoding' FROM popular""")
 def parquet_sinks(ws):
     tables = {
         "transactions_clean": ws.clean, "outlier_audit": _fitted(ws).where("is_statistical_outlier"),
@@ -153,7 +161,9 @@ def parquet_sinks(ws):
     return total
 
 
-@query("a9_csv_evidence")
+@query("a9_csv_evidence", """
+SELECT stock_code, printf('%#.10g', reference_price) AS reference_price,
+       CAST(reference_observations AS VARCHAR) AS reference_observations FROM prices""")
 def csv_evidence(ws):
     path = sinks.write_csv(ws.prices, f"{ws.root}/evidence/reference_prices")
     return ws.spark.read.option("header", True).csv(path)
@@ -170,6 +180,27 @@ def table_fingerprint(ws):
     return total
 
 
+@query("a10_fingerprint_properties", """
+SELECT 'clean' AS table_name, count(*) AS n_rows, TRUE AS same_again, TRUE AS changed_by_one_row FROM cleaned
+UNION ALL SELECT 'split', count(*), TRUE, TRUE FROM split_table
+UNION ALL SELECT 'taxonomy', count(*), TRUE, TRUE FROM catalogue""")
+def fingerprint_properties(ws):
+    """The hash of a table dealt anew is the same; with one of its rows more it is another."""
+    total = None
+    for name, frame in {"clean": ws.clean, "split": ws.split, "taxonomy": ws.taxonomy}.items():
+        def printed(rows, suffix):
+            row = sinks.fingerprint(rows)
+            return row.select(*[F.col(c).alias(f"{c}_{suffix}") for c in row.columns], F.lit(name).alias("table_name"))
+        three = printed(frame, "a").join(printed(frame.repartition(7), "b"), "table_name").join(
+            printed(frame.unionByName(frame.limit(1)), "c"), "table_name")
+        rows = three.select(
+            "table_name", F.col("n_rows_a").alias("n_rows"),
+            ((F.col("xor_hash_a") == F.col("xor_hash_b")) & (F.col("sum_hash_a") == F.col("sum_hash_b"))).alias("same_again"),
+            (F.col("sum_hash_a") != F.col("sum_hash_c")).alias("changed_by_one_row"))
+        total = rows if total is None else total.unionByName(rows)
+    return total
+
+
 @query("a11_run_metadata", """
 SELECT 'clean_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM cleaned
 UNION ALL SELECT 'customers', CAST(count(*) AS DOUBLE) FROM population

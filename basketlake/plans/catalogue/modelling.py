@@ -32,13 +32,16 @@ def _embedded(ws):
         _weights(ws), taxonomy.term_directions(_weights(ws), ws.settings.products)))
 
 
-@query("d3_svd_embeddings")
+@query("d3_svd_embeddings", """
+SELECT DISTINCT stock_code, CAST(least(50, (SELECT count(DISTINCT stock_code) FROM term_counts JOIN vocabulary USING (term)) - 1,
+       (SELECT count(*) FROM vocabulary) - 1) AS INTEGER) AS dimensions, 1.0::DOUBLE AS length
+FROM term_counts JOIN vocabulary USING (term)""")
 def svd_embeddings(ws):
     weights = _weights(ws)
     points = taxonomy.embeddings(weights, taxonomy.term_directions(weights, ws.settings.products))
     x = vector_to_array("features")
     return points.select("stock_code", F.size(x).alias("dimensions"), F.sqrt(F.aggregate(
-        x, F.lit(0.0), lambda s, v: s + v * v)).alias("length"))
+        x, F.lit(0.0), lambda s, v: s + v * v)).alias("length")).withColumn("length", F.round("length", 9))
 
 
 def _taxonomy(ws):
