@@ -10,7 +10,9 @@ a round saves none.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,8 +40,14 @@ def rank_file_encoder(ranks_path: str, pattern: str) -> Callable[[], Callable[[l
 
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path),
                                    special_tokens={})._core_bpe.encode_ordinary
-        small = [i.to_bytes(4, "little") for i in range(1 << 16)]
-        return lambda pieces: [b"".join(map(small.__getitem__, encode(p))) for p in pieces]
+
+        def little(ids: list[int]) -> bytes:
+            packed = array("I", ids)
+            if sys.byteorder == "big":
+                packed.byteswap()
+            return packed.tobytes()
+
+        return lambda pieces: [little(encode(p)) for p in pieces]
 
     return make
 
