@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions only.
 
-A text's paragraphs (lines, cut further at some sentence ends) are a set of 64-bit digests. A sketch has three
+A text's paragraphs (lines, cut further where a sentence ends) are a set of 64-bit digests. A sketch has three
 tables of four cells; each digest enters one cell a table, and a cell keeps the count, the xor of its
 digests and the xor of their checks. Two sketches subtract cell by cell, which leaves the digests that
 differ: a cell with one digest (count 1 or -1 and a matching check) gives it away, it is taken out of
@@ -19,9 +19,6 @@ from pyspark.sql.window import Window
 
 from basketlake.llm.common import tasks
 
-# Besides line ends, sentence ends before these capitals cut paragraphs: the cuts depend on what is
-# around them alone, so equal passages are cut alike, and short documents still have several.
-CUT_BEFORE = "AD"
 TABLES, CELLS = 3, 4
 ROUNDS = 6
 BLOCK_LOAD = 4.0
@@ -36,10 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text."""
-    cut = text
-    for letter in CUT_BEFORE:
-        cut = F.replace(cut, F.lit(f". {letter}"), F.lit(f".\n{letter}"))
-    parts = F.filter(F.split(cut, "\n"), lambda p: p != "")
+    parts = F.filter(F.split(F.replace(text, F.lit(". "), F.lit(".\n")), "\n"), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
