@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions only.
 
-A text's paragraphs (lines, cut further where a sentence ends) are a set of 64-bit digests. A sketch has three
-tables of four cells; each digest enters one cell a table, and a cell keeps the count, the xor of its
+A text's paragraphs (lines, cut further where a sentence ends, and at content-defined places where they
+stay long) are a set of 64-bit digests. A sketch has three tables of four cells; each digest enters one cell a table, and a cell keeps the count, the xor of its
 digests and the xor of their checks. Two sketches subtract cell by cell, which leaves the digests that
 differ: a cell with one digest (count 1 or -1 and a matching check) gives it away, it is taken out of
 its other cells, and so on until all cells are empty. If they do not become empty, the same texts are
@@ -19,6 +19,9 @@ from pyspark.sql.window import Window
 
 from basketlake.llm.common import tasks
 
+BREAK = r"(?<=[.!?])[ \t]+|\n+"
+LONG = 120
+WORDS_MASK, CHARACTERS_MASK = 7, 31
 TABLES, CELLS = 3, 4
 ROUNDS = 6
 BLOCK_LOAD = 4.0
@@ -31,10 +34,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _chosen(mask: int, *units: Column) -> Column:
+    return F.xxhash64(*units).bitwiseAND(F.lit(mask)) == 0
+
+
+def _after_words(part: Column) -> Column:
+    """Cut after words whose hash has no bit of the mask."""
+    marked = F.transform(F.split(part, " "), lambda w: F.when(
+        _chosen(WORDS_MASK, w), F.concat(w, F.lit("\n"))).otherwise(w))
+    return F.split(F.array_join(marked, " "), "\n ?")
+
+
+def _after_characters(part: Column) -> Column:
+    """Cut after characters whose hash with the two before them has no bit of the mask."""
+    return let(F.split(part, ""), lambda cs: F.split(F.array_join(F.transform(cs, lambda c, i: F.when(
+        _chosen(CHARACTERS_MASK, F.get(cs, i - 2), F.get(cs, i - 1), c),
+        F.concat(c, F.lit("\n"))).otherwise(c)), ""), "\n"))
+
+
+def _evenly(part: Column) -> Column:
+    """Cut from its start on; only what repeats with a short period comes here."""
+    return F.split(F.regexp_replace(part, f"(?s).{{{LONG}}}", "$0\n"), "\n")
+
+
+def parts(text: Column) -> Column:
+    """Lines and sentences; those over ``LONG`` characters cut at words, then characters, then evenly."""
+    def shorter(found: Column, cut: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(found, lambda p: F.when(
+            F.char_length(p) > LONG, cut(p)).otherwise(F.array(p))))
+
+    found = shorter(shorter(shorter(F.split(text, BREAK), _after_words), _after_characters), _evenly)
+    return F.filter(found, lambda p: p != "")
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text."""
-    parts = F.filter(F.split(F.replace(text, F.lit(". "), F.lit(".\n")), "\n"), lambda p: p != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(parts(text), lambda p: F.xxhash64(p)))
 
 
 def _check(key: Column) -> Column:
