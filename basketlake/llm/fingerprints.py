@@ -11,6 +11,7 @@ block with a sketch of its own. Work and size grow with the number of paragraphs
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -210,22 +211,26 @@ def listed(sketch: Column) -> Column:
         F.concat(c["n"].cast("string"), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(c["check"])))), ";"))
 
 
-def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Each row (doc_id, text) with its digests beside the next one's, in descending id order.
+def in_buckets(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Adds ``bucket`` and ``tie``, the text's hash; buckets ascend as ids descend and ties ascend.
 
-    The first row follows the last. Rows go to buckets of consecutive ids, cut at quantiles, in one
-    shuffle; only each bucket's first row travels further, to the bucket before. Null ids come last,
-    and rows of one id are ordered by their texts' hashes.
+    Ids are cut at quantiles. An id on which several quantiles fall gets as many buckets, cut by the
+    tie, before the smaller ids of its range; only rows equal in id and text then share a bucket.
     """
     spark = rows.sparkSession
     place = F.coalesce(F.col("doc_id"), F.lit(-2 ** 63))
     held = rows.agg(F.count(F.lit(1))).first()[0]
     wanted = int(min(MOST_BUCKETS, max(1, held // bucket_rows, tasks(spark) if held >= bucket_rows else 1)))
-    cuts: list[int] = []
+    times: Counter = Counter()
     if wanted > 1:
         shares = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
-        cuts = sorted(set(rows.agg(F.percentile_approx(place, shares, 20 * wanted)).first()[0] or []))
+        times = Counter(rows.agg(F.percentile_approx(place, shares, 20 * wanted)).first()[0] or [])
+    cuts = sorted(times)
+    tied = rows.withColumn("tie", F.xxhash64("text"))
+    if not cuts:
+        return tied.withColumn("bucket", F.lit(0).cast("bigint"))
     bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts]).cast("array<bigint>")
+    pieces = F.array(*[F.lit(times[c]) for c in cuts])
     halving = F.array(*[F.lit(i) for i in range(max(1, len(cuts).bit_length()))])
 
     def closer(s: Column, _: Column) -> Column:
@@ -235,9 +240,27 @@ def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
             F.when(below, middle + 1).otherwise(s["low"]).alias("low"),
             F.when(below, s["high"]).otherwise(middle).alias("high")))
 
-    bucket = F.aggregate(halving, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), closer,
-                         lambda s: -s["low"])
-    dealt = rows.withColumn("bucket", bucket if cuts else F.lit(0)).withColumn("tie", F.xxhash64("text"))
+    low = F.aggregate(halving, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), closer,
+                      lambda s: s["low"])
+
+    def numbered(low: Column) -> Column:
+        n = F.get(pieces, low)
+        by_tie = F.least(F.floor((F.col("tie") / F.lit(2.0 ** 64) + 0.5) * n).cast("bigint"), n - 1)
+        nulls = F.when(F.col("doc_id").isNull(), n).otherwise(0)  # after an id that is as small as can be
+        within = F.when(n > 1, F.when(F.get(bounds, low) == place, by_tie + nulls).otherwise(2 * n)).otherwise(0)
+        return F.lit(-2 * (MOST_BUCKETS + 1)).cast("bigint") * low + within
+
+    return tied.withColumn("bucket", let(low, numbered))
+
+
+def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Each row (doc_id, text) with its digests beside the next one's, in descending id order.
+
+    The first row follows the last. Rows go to buckets of consecutive ids and text hashes, in one
+    shuffle; only each bucket's first row travels further, to the bucket before. Null ids come last,
+    and rows of one id are ordered by their texts' hashes.
+    """
+    dealt = in_buckets(rows, bucket_rows)
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
     chained = dealt.withColumn("keys", digests(F.col("text"))).withColumn(
         "after_text", F.lead("text").over(order)).withColumn("after_keys", F.lead("keys").over(order))
