@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame
 
 NONE = np.int32(2 ** 31 - 1)
 SHORT = 64
-MEMO = 600_000
 FLUSH = 300_000
+# What a piece that is remembered may be long, what its entries cost beside their characters, and all of them
+LONG_PIECE, ENTRY_BYTES, MEMO_BYTES = 64, 250, 160_000_000
 _CLOSE_SPACES = re.compile(r"\s\s")
+# Characters with the Unicode property White_Space (fixed values)
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_PIECES = re.compile(f"[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+")
 
 
 @lru_cache(maxsize=4)
@@ -152,7 +156,7 @@ class SegmentTreeBpe:
 
     def merge_long(self, match: bytes) -> list[int]:
         """The same tree for a single match of any length, in plain integers."""
-        n, none, pairs = len(match), int(NONE), self.rank_of.pairs
+        n, none, pairs = len(match), 1 << 62, self.rank_of.pairs  # above every rank and place
         shift = max(1, (n - 1).bit_length())
         size = 1 << shift
         ids = [int(self.first[b]) for b in match]
@@ -197,53 +201,72 @@ class SegmentTreeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def segments(text: str) -> list[str] | None:
-    """Pieces that can be matched apart: the text cut before every space and line end.
+def segments(text: str, special: re.Pattern | None = None) -> tuple[list[str], list[str]]:
+    """Pieces of a text that can be matched apart: first those as they are, then those after a space.
 
-    A piece that starts without a line end stands for itself after a space (the first piece: without).
-    Where two spaces of any kind touch, matches depend on what follows: then None.
+    Where no two white-space characters touch, the text is cut before every space and line end; a piece
+    that starts without a line end then stands for itself after a space (the first one: without).
+    Otherwise it is cut before the last character of every run of white space, and before the run.
+    Strings that ``special`` finds are pieces of their own, and what stands between them is cut alone.
     """
+    if special is not None and special.search(text):
+        return [p for i, part in enumerate(special.split(text)) if part
+                for p in ([part] if i % 2 else _PIECES.findall(part))], []
     if _CLOSE_SPACES.search(text):
-        return None
-    return text.replace("\n", " \n").split(" ")
+        return _PIECES.findall(text), []
+    first, *spaced = text.replace("\n", " \n").split(" ")
+    return [first], spaced
 
 
 class SegmentMemo:
-    """Values of distinct pieces, each computed once; emptied when it has grown past a bound."""
+    """Values of distinct short pieces, each computed once; emptied when it holds more than so many bytes.
 
-    def __init__(self, compute, limit: int = MEMO):
-        self.compute, self.limit, self.spaced, self.raw = compute, limit, {}, {}
+    Longer pieces are computed for the texts at hand and forgotten after them. ``special`` strings are
+    looked for before anything else, the longest first.
+    """
 
-    def learn(self, spaced: Iterable[str], raw: Iterable[str]) -> None:
-        if len(self.spaced) + len(self.raw) > self.limit:
-            self.spaced, self.raw = {}, {}
-        new = [p for p in set(spaced) if p not in self.spaced]
+    def __init__(self, compute, special: Iterable[str] = (), limit: int = MEMO_BYTES):
+        self.compute, self.limit, self.size = compute, limit, 0
+        self.raw: dict = {}
+        self.spaced: dict = {}
+        self.passing: list[tuple[dict, str]] = []
+        names = sorted(special, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
+    def learn(self, raw: Iterable[str], spaced: Iterable[str]) -> None:
+        for held, piece in self.passing:
+            held.pop(piece, None)
+        self.passing = []
+        if self.size > self.limit:
+            self.raw, self.spaced, self.size = {}, {}, 0
         plain = [p for p in set(raw) if p not in self.raw]
-        values = self.compute([p if p[:1] == "\n" else " " + p for p in new] + plain)
-        self.spaced.update(zip(new, values))
-        self.raw.update(zip(plain, values[len(new):]))
+        after = [p for p in set(spaced) if p not in self.spaced]
+        values = self.compute(plain + [p if p[:1] == "\n" else " " + p for p in after])
+        for held, pieces, own in ((self.raw, plain, values), (self.spaced, after, values[len(plain):])):
+            held.update(zip(pieces, own))
+            for piece, value in zip(pieces, own):
+                if len(piece) > LONG_PIECE:
+                    self.passing.append((held, piece))
+                else:
+                    self.size += ENTRY_BYTES + 4 * len(piece) + len(value)
 
-    def values(self, cut: list[str] | None, text: str) -> list:
-        if cut is None:
-            return [self.raw[text]]
-        return [self.raw[cut[0]], *map(self.spaced.__getitem__, cut[1:])]
+    def values(self, raw: list[str], spaced: list[str]) -> list:
+        return [*map(self.raw.__getitem__, raw), *map(self.spaced.__getitem__, spaced)]
 
 
 def text_values(batch_texts: list[str], memo: SegmentMemo, flush: int = FLUSH) -> Iterator[list]:
     """For each text the values of its pieces, learning a bounded number of pieces at a time."""
-    held: list[tuple[list[str] | None, str]] = []
+    held: list[tuple[list[str], list[str]]] = []
     size = 0
 
     def release() -> Iterator[list]:
-        memo.learn((p for cut, _ in held if cut for p in cut[1:]),
-                   [text if cut is None else cut[0] for cut, text in held])
-        for cut, text in held:
-            yield memo.values(cut, text)
+        memo.learn((p for raw, _ in held for p in raw), (p for _, spaced in held for p in spaced))
+        for raw, spaced in held:
+            yield memo.values(raw, spaced)
 
     for text in batch_texts:
-        cut = segments(text)
-        held.append((cut, text))
-        size += len(cut) if cut else 1 + len(text) // 6
+        held.append(segments(text, memo.special))
+        size += len(held[-1][0]) + len(held[-1][1]) + len(text) // 16
         if size >= flush:
             yield from release()
             held, size = [], 0

@@ -10,6 +10,7 @@ a round saves none.
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
@@ -30,11 +31,21 @@ PACKED = PIECE + ", sequence_id bigint, offset bigint, waste bigint, gap bigint"
 END_ID = 2
 
 
-def rank_file_encoder(ranks_path: str, pattern: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Strings and ids of the tokens that a tokenizer file adds to its vocabulary."""
+    with open(json_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def rank_file_encoder(ranks_path: str, pattern: str,
+                      special: dict[str, int] | None = None) -> Callable[[], Callable[[list[str]], list[bytes]]]:
     """Makes, in a worker, a function from pieces of text to their ids as little-endian integers.
 
-    Strings of special tokens in a text are ordinary text.
+    A piece that is a string of ``special`` has its id; the pieces of a text must be cut at those
+    strings. Without it they are ordinary text.
     """
+    special = special or {}
+
     def make() -> Callable[[list[str]], list[bytes]]:
         import tiktoken
 
@@ -47,11 +58,16 @@ def rank_file_encoder(ranks_path: str, pattern: str) -> Callable[[], Callable[[l
                 packed.byteswap()
             return packed.tobytes()
 
-        return lambda pieces: [little(encode(p)) for p in pieces]
+        return lambda pieces: [little([special[p]] if p in special else encode(p)) for p in pieces]
 
+    make.special = tuple(special)
     return make
 
 
+def piece_memo(make_encoder) -> SegmentMemo:
+    return SegmentMemo(make_encoder(), getattr(make_encoder, "special", ()))
+
+
 def cut(raw: bytes, capacity: int) -> list[tuple[int, int, int]]:
     """(start, length, crc) of the pieces of one document's ids; only the first may be shorter."""
     total = len(raw) // 4
@@ -67,7 +83,7 @@ def pieces_of(docs: DataFrame, make_encoder, capacity: int = 1024, doc_id: str =
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = SegmentMemo(make_encoder())
+        memo = piece_memo(make_encoder)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, rows = [], []

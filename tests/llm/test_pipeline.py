@@ -68,7 +68,6 @@ def test_every_stage_on_its_own_input(spark, tmp_path):
 
     packed = step("best_fit_packing", clean).collect()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in packed:
         pieces[r.doc_id].append(r)

@@ -41,6 +41,40 @@ def test_documents_encode_as_tiktoken_does(spark, tmp_path):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_long_matches_encode_as_tiktoken_does():
+    rng = random.Random(7)
+    words = [t.decode() for t in bpe.load_ranks(RANKS) if t.isalpha() and t.isascii() and len(t) > 2][:5000]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                mergeable_ranks=bpe.load_ranks(RANKS))
+    tree = bpe.SegmentTreeBpe(bpe.load_ranks(RANKS))
+    for size in (33_000, 40_000, 140_000):
+        match = "".join(rng.choices(words, k=size))[:size]
+        assert tree.merge_long(match.encode()) == library.encode_ordinary(match)
+
+
+def test_pieces_are_independent_of_what_stands_beside_them():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    special = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    memo = packing.piece_memo(packing.rank_file_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                                        public_tokenizers.PATTERN, special))
+    texts = fuzz(400, 9) + ["a  <|endoftext|>  b", "<|endoftext|><|endoftext|>", "x\n\n\n", "\u3000\xa0 \u2003y",
+                            "a<|endoftext|>b <|endoftext|", "  <|endoftext|>\n"]
+    for text, values in zip(texts, bpe.text_values(texts, memo, 500)):
+        assert np.frombuffer(b"".join(values), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_memo_stays_small():
+    memo = bpe.SegmentMemo(lambda pieces: [p.encode() for p in pieces], limit=100_000)
+    rng = random.Random(1)
+    for turn in range(40):
+        texts = ["\n\n".join("".join(rng.choices("abcdefgh", k=rng.choice([5, 3000]))) for _ in range(20)) for _ in range(20)]
+        assert [b"".join(v).decode() for v in bpe.text_values(texts, memo)] == texts
+        held = sum(map(len, memo.raw)) + sum(map(len, memo.spaced))
+        assert memo.size <= 100_000 + 400 * 300 and held <= memo.size + 20 * 20 * 3000
+    memo.learn([], [])
+    assert max(map(len, [*memo.raw, *memo.spaced], ), default=0) <= bpe.LONG_PIECE
+
+
 def test_short_and_long_trees_agree():
     tree = bpe.SegmentTreeBpe(bpe.load_ranks(RANKS))
     rng = random.Random(5)
@@ -58,7 +92,6 @@ def test_pieces_follow_the_tokenizers_library(spark, tmp_path):
     for r in queries.op2_best_fit_packing(spark, stored(documents(spark, texts), tmp_path)).collect():
         got[r.doc_id].append(r)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     for i, text in enumerate(texts):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
         rows = sorted(got[i], key=lambda r: r.piece)
