@@ -50,7 +50,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Packs the texts' token ids into sequences of at most 1024."""
-    encoder = packing.rank_file_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.rank_file_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
     return packing.pack_documents(docs, encoder)
 
 
