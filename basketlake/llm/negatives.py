@@ -130,14 +130,14 @@ def _slabs(values: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, sorted({*range(0, dims, max(1, -(-dims // SLABS))), dims})
 
 
-def _blocks(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
+def _blocks(left: pa.Table, right: pa.Table, row_block: int, anchor_block: int) -> Iterator[tuple]:
     """(row slice, anchor slice, blocks, edges) of all small blocks of one cell of the grid."""
     rows, anchors = exact(matrix(left.column("vector"), left.num_rows), matrix(right.column("vector"), right.num_rows))
     order, edges = _slabs(rows)
-    for q in range(0, len(anchors), ANCHOR_BLOCK):
-        own = Block(anchors[q:q + ANCHOR_BLOCK], order, edges)
-        for r in range(0, len(rows), ROW_BLOCK):
-            yield r, q, Block(rows[r:r + ROW_BLOCK], order, edges), own, edges
+    for q in range(0, len(anchors), anchor_block):
+        own = Block(anchors[q:q + anchor_block], order, edges)
+        for r in range(0, len(rows), row_block):
+            yield slice(r, r + row_block), q, Block(rows[r:r + row_block], order, edges), own, edges
 
 
 def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, number: np.ndarray, most: int) -> np.ndarray:
@@ -148,14 +148,14 @@ def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, number: np.ndar
     return order[np.arange(len(order)) - first < most]
 
 
-def _positives(most: int):
+def _positives(most: int, row_block: int, anchor_block: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64),) * 4]
         if left.num_rows and right.num_rows:
             ids, number = left.column("vec_id").to_numpy(), left.column("row").to_numpy()
             anchor = right.column("row").to_numpy()
-            for r, q, rows, anchors, edges in _blocks(left, right):
-                names, places = number[r:r + ROW_BLOCK], ids[r:r + ROW_BLOCK]
+            for r, q, rows, anchors, edges in _blocks(left, right, row_block, anchor_block):
+                names, places = number[r], ids[r]
                 top = anchors.rest[0] * rows.rest[0].max(initial=0.0)
                 open_ = np.arange(len(anchors.values))
                 for step in (0.8, 0.5, 0.3, 0.15, None):
@@ -182,7 +182,7 @@ def _positives(most: int):
     return run
 
 
-def _negatives(most: int, low_percent: int):
+def _negatives(most: int, low_percent: int, row_block: int, anchor_block: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64),) * 5]
         if left.num_rows and right.num_rows:
@@ -193,8 +193,8 @@ def _negatives(most: int, low_percent: int):
             counts = np.diff(windows.offsets.to_numpy())
             tops = windows.flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(counts)])
-            for r, q, rows, anchors, edges in _blocks(left, right):
-                names, places, own_label = (v[r:r + ROW_BLOCK] for v in (number, ids, labels))
+            for r, q, rows, anchors, edges in _blocks(left, right, row_block, anchor_block):
+                names, places, own_label = (v[r] for v in (number, ids, labels))
                 n = len(anchors.values)
                 # the block's windows: anchor within it, and its highest score
                 part = slice(ends[q], ends[q + n])
@@ -285,7 +285,7 @@ def hard_negatives(vectors: DataFrame, label: Column, is_anchor: Column, scale:
     plain = rows.drop("anchor")
     n, m = (rows.count(), anchors.count())
     near = _grid(plain, anchors.select("row", "label", "dimensions", "vector"), ["dimensions", "label"], n, m,
-                 _positives(positives), POSITIVE)
+                 _positives(positives, ROW_BLOCK, ANCHOR_BLOCK), POSITIVE)
     ids = plain.select(F.col("row").alias("other"), F.col("vec_id").alias("positive_id"))
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), "positive_id", "other")
     chosen = written(near.join(ids, "other").withColumn("place", F.row_number().over(order)).where(
@@ -294,7 +294,8 @@ def hard_negatives(vectors: DataFrame, label: Column, is_anchor: Column, scale:
     windows = chosen.where("positive_score >= 0").groupBy(F.col("anchor").alias("row")).agg(
         F.sort_array(F.collect_set("positive_score")).alias("windows"))
     asking = anchors.select("row", "label", "dimensions", "vector").join(windows, "row")
-    hard = _grid(plain, asking, ["dimensions"], n, m, _negatives(negatives, low_percent), NEGATIVE)
+    hard = _grid(plain, asking, ["dimensions"], n, m, _negatives(negatives, low_percent, ROW_BLOCK, ANCHOR_BLOCK),
+                 NEGATIVE)
     order = Window.partitionBy("anchor", "positive_score").orderBy(F.desc("negative_score"), "negative_id", "negative")
     best = hard.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     names = anchors.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))

@@ -67,7 +67,7 @@ def test_all_pairs_give_the_same(spark, tmp_path, monkeypatch, dims, small):
 def test_awkward_rows(spark, tmp_path, monkeypatch):
     rows = rows_of(210, 5, 9)
     nan, inf = float("nan"), float("inf")
-    rows += [(300, None, 1, "r", "p"), (400, [nan] * 5, 1, "r", "p"), (500, [inf, 0, 0, 0, 0], 1, "r", "p"),
+    rows += [(300, None, 1, "r", "p"), (400, [nan] * 5, 1, "r", "p"), (500, [inf, 0.0, 0.0, 0.0, 0.0], 1, "r", "p"),
              (600, [0.1] * 5, None, "r", "p"), (None, [0.1] * 5, 1, "r", "p"), (700, [0.1, None, 0.1, 0.1, 0.1], 1, "r", "p"),
              (800, [], 1, "r", "p"), (801, [], 1, "r", "p"), (802, [], 2, "r", "p"), (900, [0.5, 0.5], 1, "r", "p"),
              (901, [0.5, 0.5], 1, "r", "p"), (902, [0.5, 0.5], 2, "r", "p"), (1000, [0.0] * 5, 1, "r", "p"),
