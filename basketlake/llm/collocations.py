@@ -1,7 +1,7 @@
 """Phrase collocations by direct-address tiles of frequency-ranked ids, level by level.
 
-Level 1 are the words. Items of a level that occur often enough are numbered by falling frequency, and
-every text becomes a sequence of those ids. Two items of level k that start at neighbouring words
+Level 1 are the words. Items of a level that occur often enough are ranked by falling frequency, and
+every text becomes a sequence of those ranks. Two items of level k that start at neighbouring words
 overlap in all but their ends, so a pair of them is a phrase of k + 1 words: pairs are counted in square
 tiles of the id plane. Tiles with many occurrences near the origin are counted densely (one bincount
 cell a pair), the others as sorted coordinates; the frequent pairs are ranked again and are the items
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from basketlake.llm.common import texts, written
 
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 12_000_000
 TILE_BITS = 10
 DENSE = 1 << 18
 BREAK = b"."
@@ -61,7 +61,7 @@ def dictionaries(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 counts = np.bincount(codes[codes >= 0], minlength=len(known))
                 n = len(known)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * (n + 1), pa.int64()), pa.array([lang] * (n + 1), pa.string()),
+                    [pa.repeat(pa.scalar(chunk, pa.int64()), n + 1), pa.repeat(pa.scalar(lang, pa.string()), n + 1),
                      pa.array([*known, None], pa.binary()).cast(pa.string()),
                      pa.array([*range(n), None], pa.int32()), pa.array([*counts.tolist(), None], pa.int64()),
                      pa.array([None] * n + [packed(codes)], pa.binary())],
@@ -122,9 +122,9 @@ def _next_level(last: bool):
         chunk, lang = (v.as_py() for v in key)
         codes = np.concatenate([unpacked(v.as_py()) for v in left.column("codes")] or [np.empty(0, np.int32)])
         code, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
-        order = np.argsort(ids)
+        # ranks of the items that the chunk holds, the most frequent of all chunks first
+        order = np.lexsort((ids, -right.column("f").to_numpy()))
         ids = ids[order]
-        # ranks among the items that the chunk holds: as frequent first as the ids are
         rank = np.full(max(int(codes.max(initial=-1)), int(code.max(initial=-1))) + 2, -1, np.int32)
         rank[code[order]] = np.arange(len(order))
         items = rank[codes]  # code -1 reads the last entry, which is -1
@@ -139,7 +139,7 @@ def _next_level(last: bool):
             raw = [packed(after)]
         none = [None] * keep
         return pa.table({
-            "chunk": pa.array([chunk] * (n + keep), pa.int64()), "lang": pa.array([lang] * (n + keep), pa.string()),
+            "chunk": pa.repeat(pa.scalar(chunk, pa.int64()), n + keep), "lang": pa.repeat(pa.scalar(lang, pa.string()), n + keep),
             "x": pa.concat_arrays([pa.array(ids[x], pa.int64()), pa.array(none, pa.int64())]),
             "y": pa.concat_arrays([pa.array(ids[y], pa.int64()), pa.array(none, pa.int64())]),
             "code": pa.concat_arrays([pa.array(np.arange(n), pa.int32()), pa.array(none, pa.int32())]),
@@ -148,20 +148,14 @@ def _next_level(last: bool):
     return run
 
 
-def ranked(frequent: DataFrame, keys: list[str], subs: int = 64) -> DataFrame:
-    """Adds ``id``, gapless from 0 in each lang, by falling frequency ``f``.
-
-    Rows are counted by lang, band of the frequency (an eighth of an octave) and hash part; those few
-    counts give every part its first number, so no lang is ever sorted in one task.
-    """
-    rows = frequent.withColumn("band", F.floor(F.log2("f") * 8).cast("int")).withColumn(
-        "sub", F.pmod(F.xxhash64(*keys), F.lit(subs)).cast("int"))
-    counts = rows.groupBy("lang", "band", "sub").agg(F.count(F.lit(1)).alias("rows_held"))
-    before = Window.partitionBy("lang").orderBy(F.desc("band"), "sub").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("lang", "band", "sub", F.coalesce(F.sum("rows_held").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("lang", "band", "sub").orderBy(F.desc("f"), *keys)
-    return rows.withColumn("place", F.row_number().over(inside)).join(firsts, ["lang", "band", "sub"]).withColumn(
-        "id", F.col("first") + F.col("place") - 1).drop("band", "sub", "first", "place")
+def counted(state: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Every chunk's row of the items that occur ``least`` times in all chunks of their lang, with that
+    frequency ``f`` and an id that the rows of one item share; ``own`` marks one row of each."""
+    rows = state.where("codes is null").select("chunk", "lang", *keys, "code", "held").withColumn(
+        "row", F.monotonically_increasing_id())
+    alike = Window.partitionBy("lang", *keys)
+    return rows.withColumn("f", F.sum("held").over(alike)).withColumn("id", F.min("row").over(alike)).where(
+        F.col("f") >= least).select("chunk", "lang", *keys, "code", "f", "id", (F.col("row") == F.col("id")).alias("own"))
 
 
 def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int = 2000, share: int = 80,
@@ -184,9 +178,8 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int
     n = written(state.where("codes is null").groupBy("lang").agg(F.sum("held").alias("n")), "phrase-totals")
     found, level = None, None
     for words in range(1, most_words + 1):
-        items = state.where("codes is null")
-        totals = items.groupBy("lang", *keys).agg(F.sum("held").alias("f")).where(F.col("f") >= least)
-        frequent = written(ranked(totals, keys), f"phrase-frequent{words}")
+        items = written(counted(state, keys, least), f"phrase-items{words}")
+        frequent = items.where("own").select("lang", *keys, "f", "id")
         if words == 1:
             below = written(frequent.select(
                 "lang", "id", "f", F.col("key").alias("phrase"), F.col("key").alias("final"),
@@ -206,8 +199,7 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int
                 found = _kept(below, longer, share, found)
             below = level
         if words < most_words:
-            learnt = items.join(frequent.select("lang", *keys, "id"), ["lang", *keys]).select(
-                *[F.col(c).alias(c) for c in ("chunk", "lang", "code", "id")])
+            learnt = items.select("chunk", "lang", "code", "f", "id")
             texts_ = state.where("codes is not null").select("chunk", "lang", "codes")
             state = written(texts_.groupBy("chunk", "lang").cogroup(learnt.groupBy("chunk", "lang")).applyInArrow(
                 _next_level(words + 1 == most_words), PAIRS), f"phrase-pairs{words + 1}")

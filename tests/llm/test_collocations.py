@@ -65,7 +65,7 @@ def frame(spark, rows):
     return spark.createDataFrame(full, "doc_id bigint, text string, lang string, chunk int, codes string, f string").repartition(5)
 
 
-@pytest.mark.parametrize("chunk_bytes", [500, 32_000_000])
+@pytest.mark.parametrize("chunk_bytes", [500, 12_000_000])
 @pytest.mark.parametrize("least, words, top", [(30, 4, 2000), (3, 5, 25), (7, 2, 3)])
 def test_phrases_equal_plain_counting(spark, chunk_bytes, least, words, top):
     rows = many(3, 250) + [(None, None), ("en", ""), ("only", "...")]
