@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlake.llm.common import texts, written
+from basketlake.llm.common import removed, texts, written, written_at
 
 CHUNK_BYTES = 12_000_000
 TILE_BITS = 10
@@ -29,7 +29,7 @@ DENSE = 1 << 18
 BREAK = b"."
 _TABLE = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"........." + b" ")
 WORDS = "chunk bigint, lang string, key string, code int, held bigint, codes binary"
-PAIRS = "chunk bigint, lang string, x bigint, y bigint, code int, held bigint, codes binary"
+PAIRS = "chunk bigint, x bigint, y bigint, code int, held bigint, codes binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -47,15 +47,15 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def dictionaries(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of (lang, text): one row a distinct word, and one row with the codes of all words in order."""
+    """Chunks of one lang: one row a distinct word, and one row with the codes of all words in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = itertools.count(TaskContext.get().partitionId() << 32)
         held: dict[str, tuple[defaultdict, list]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            chunk = next(numbers)
             for lang, (known, parts) in held.items():
+                chunk = next(numbers)
                 del known[BREAK]
                 codes = np.concatenate(parts)
                 counts = np.bincount(codes[codes >= 0], minlength=len(known))
@@ -119,7 +119,7 @@ def count_pairs(x: np.ndarray, y: np.ndarray, tile_bits: int = TILE_BITS,
 def _next_level(last: bool):
     """From a chunk's codes of one level, and the ids of its frequent items, to the pairs of the next."""
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk, lang = (v.as_py() for v in key)
+        chunk = key[0].as_py()
         codes = np.concatenate([unpacked(v.as_py()) for v in left.column("codes")] or [np.empty(0, np.int32)])
         code, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
         # ranks of the items that the chunk holds, the most frequent of all chunks first
@@ -139,7 +139,7 @@ def _next_level(last: bool):
             raw = [packed(after)]
         none = [None] * keep
         return pa.table({
-            "chunk": pa.repeat(pa.scalar(chunk, pa.int64()), n + keep), "lang": pa.repeat(pa.scalar(lang, pa.string()), n + keep),
+            "chunk": pa.repeat(pa.scalar(chunk, pa.int64()), n + keep),
             "x": pa.concat_arrays([pa.array(ids[x], pa.int64()), pa.array(none, pa.int64())]),
             "y": pa.concat_arrays([pa.array(ids[y], pa.int64()), pa.array(none, pa.int64())]),
             "code": pa.concat_arrays([pa.array(np.arange(n), pa.int32()), pa.array(none, pa.int32())]),
@@ -149,13 +149,13 @@ def _next_level(last: bool):
 
 
 def counted(state: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Every chunk's row of the items that occur ``least`` times in all chunks of their lang, with that
-    frequency ``f`` and an id that the rows of one item share; ``own`` marks one row of each."""
-    rows = state.where("codes is null").select("chunk", "lang", *keys, "code", "held").withColumn(
+    """Every chunk's row of the items that occur ``least`` times in all chunks, with that frequency ``f``
+    and an id that the rows of one item share; ``own`` marks one row of each."""
+    rows = state.where("codes is null").select("chunk", *keys, "code", "held").withColumn(
         "row", F.monotonically_increasing_id())
-    alike = Window.partitionBy("lang", *keys)
+    alike = Window.partitionBy(*keys)
     return rows.withColumn("f", F.sum("held").over(alike)).withColumn("id", F.min("row").over(alike)).where(
-        F.col("f") >= least).select("chunk", "lang", *keys, "code", "f", "id", (F.col("row") == F.col("id")).alias("own"))
+        F.col("f") >= least).select("chunk", *keys, "code", "f", "id", (F.col("row") == F.col("id")).alias("own"))
 
 
 def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int = 2000, share: int = 80,
@@ -173,37 +173,43 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int
     lang without candidates, and an empty table, give no rows.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    state = written(dictionaries(rows, chunk_bytes), "phrase-words")
-    keys = ["key"]
+    state, path = written_at(dictionaries(rows, chunk_bytes), "phrase-words")
+    keys = ["lang", "key"]
     n = written(state.where("codes is null").groupBy("lang").agg(F.sum("held").alias("n")), "phrase-totals")
-    found, level = None, None
+    found = None
     for words in range(1, most_words + 1):
-        items = written(counted(state, keys, least), f"phrase-items{words}")
-        frequent = items.where("own").select("lang", *keys, "f", "id")
+        spent = [path]
+        if words < most_words:
+            items, items_path = written_at(counted(state, keys, least), f"phrase-items{words}")
+            frequent = items.where("own").select(*keys, "f", "id")
+            spent.append(items_path)
+        else:  # no text learns these, so any number will do
+            frequent = state.groupBy(*keys).agg(F.sum("held").alias("f")).where(F.col("f") >= least).withColumn(
+                "id", F.monotonically_increasing_id())
         if words == 1:
-            below = written(frequent.select(
+            level = frequent.select(
                 "lang", "id", "f", F.col("key").alias("phrase"), F.col("key").alias("final"),
-                F.array().cast("array<bigint>").alias("heads"), F.array().cast("array<bigint>").alias("tails")),
-                "phrase-level1")
+                F.array().cast("array<bigint>").alias("heads"), F.array().cast("array<bigint>").alias("tails"))
         else:
-            first = below.select("lang", F.col("id").alias("x"), F.col("phrase").alias("start"), F.col("heads"),
-                                 F.col("f").alias("head"))
-            rest = below.select("lang", F.col("id").alias("y"), "final", "tails", F.col("f").alias("tail"))
-            level = written(frequent.join(first, ["lang", "x"]).join(rest, ["lang", "y"]).select(
+            frequent = written(frequent, f"phrase-frequent{words}")
+            first = below.select("lang", F.col("id").alias("x"), F.col("phrase").alias("start"), "heads", F.col("f").alias("head"))
+            rest = below.select(F.col("id").alias("y"), "final", "tails", F.col("f").alias("tail"))
+            level = frequent.join(first, "x").join(rest, "y").select(
                 "lang", "id", "f", F.concat_ws(" ", "start", "final").alias("phrase"), "final",
-                F.concat("heads", F.array("head")).alias("heads"), F.concat(F.array("tail"), "tails").alias("tails")),
-                f"phrase-level{words}")
-            longer = frequent.select("lang", F.col("x").alias("id"), "f").union(
-                frequent.select("lang", F.col("y").alias("id"), "f")).groupBy("lang", "id").agg(F.max("f").alias("longer"))
+                F.concat("heads", F.array("head")).alias("heads"), F.concat(F.array("tail"), "tails").alias("tails"))
             if words > 2:
+                longer = frequent.select(F.col("x").alias("id"), "f").union(
+                    frequent.select(F.col("y").alias("id"), "f")).groupBy("id").agg(F.max("f").alias("longer"))
                 found = _kept(below, longer, share, found)
-            below = level
+        below = written(level, f"phrase-level{words}")
         if words < most_words:
-            learnt = items.select("chunk", "lang", "code", "f", "id")
-            texts_ = state.where("codes is not null").select("chunk", "lang", "codes")
-            state = written(texts_.groupBy("chunk", "lang").cogroup(learnt.groupBy("chunk", "lang")).applyInArrow(
+            learnt = items.select("chunk", "code", "f", "id")
+            codes = state.where("codes is not null").select("chunk", "codes")
+            state, path = written_at(codes.groupBy("chunk").cogroup(learnt.groupBy("chunk")).applyInArrow(
                 _next_level(words + 1 == most_words), PAIRS), f"phrase-pairs{words + 1}")
             keys = ["x", "y"]
+        for old in spent:
+            removed(docs.sparkSession, old)
     found = below if found is None else found.unionByName(below)
     cut = F.expr(f"""array_min(transform(sequence(0, size(heads) - 1), i -> named_struct(
         'score', (cast({scale} as decimal(19,0)) * cast(f as decimal(18,0))) div
@@ -223,6 +229,6 @@ def _kept(level: DataFrame, longer: DataFrame, share: int, found: DataFrame | No
     A phrase inside a candidate of several more words lies in one of a single word more that occurs at
     least as often as the candidate, so the next level decides.
     """
-    left = level.join(longer, ["lang", "id"], "left").where(F.expr(
+    left = level.join(longer, "id", "left").where(F.expr(
         f"longer is null or cast(longer as decimal(20,0)) * 100 < cast(f as decimal(20,0)) * {share}")).drop("longer")
     return left if found is None else found.unionByName(left)

@@ -51,12 +51,33 @@ def _scratch(spark: SparkSession) -> str:
     return _RUNS[application]
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the cluster's shared folder: its lineage ends there."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_at(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as a Parquet table in the cluster's shared folder, where its lineage ends, and its path.
+
+    Once it is written nothing reads its shuffles again, so their files are removed then.
+    """
     spark = frame.sparkSession
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    return written_at(frame, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def tasks(spark: SparkSession) -> int:
