@@ -16,25 +16,22 @@ from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
     MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import (
-    BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator,
-    RegressionEvaluator)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import Imputer, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param
-from pyspark.ml.regression import (
-    GBTRegressor, GeneralizedLinearRegression, LinearRegression)
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlake.functions.distributed import exact_quantiles
-from basketlake.operators import evaluation
+from basketlake.operators import boosting, evaluation
 from basketlake.session import materialize, training_rows
 from basketlake.settings import RollingSettings
 
 SEED = 42
-TREES = (DecisionTreeClassifier, RandomForestClassifier, GBTClassifier, GBTRegressor)
+TREES = (DecisionTreeClassifier, RandomForestClassifier, GBTClassifier)
 FITS_AT_ONCE = 4
 
 
@@ -134,9 +131,12 @@ def churn_families(n_train: int, n_features: int) -> dict[str, Family]:
               "featureSubsetStrategy": "sqrt"})),
         "boosted_depth": Family(
             GBTClassifier(seed=SEED, **weighted), False,
-            ({"maxIter": 160, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.85},
-             {"maxIter": 240, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 1.0},
-             {"maxIter": 180, "maxDepth": 5, "stepSize": 0.07, "subsamplingRate": 0.8})),
+            ({"maxIter": 160, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.85,
+              "featureSubsetStrategy": "0.85"},
+             {"maxIter": 240, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 1.0,
+              "featureSubsetStrategy": "0.8"},
+             {"maxIter": 180, "maxDepth": 5, "stepSize": 0.07, "subsamplingRate": 0.8,
+              "featureSubsetStrategy": "all"})),
         # Leaf-wise candidates: about log2(leaves) levels, with a minimum leaf size.
         "boosted_leaves": Family(
             GBTClassifier(seed=SEED, **weighted), False,
@@ -209,10 +209,6 @@ def multiclass_evaluator(label: str) -> Evaluator:
     return MacroF1(label)
 
 
-def rmse_evaluator(label: str) -> Evaluator:
-    return RegressionEvaluator(labelCol=label, metricName="rmse")
-
-
 def fit_binary(train: DataFrame, features: Sequence[str], family: Family, candidate: int = 0,
                label: str = "churn") -> PipelineModel:
     """Fit one candidate. Families without weights get the rarer class repeated instead."""
@@ -292,103 +288,109 @@ def fit_value(train: DataFrame, features: Sequence[str], estimator: Estimator, l
     return ValueModel(model, tuple(features), log_target, top, unit)
 
 
-# The settings of the value candidates.
-def value_candidates(rounds: int = 360, power: float = RollingSettings.tweedie_power, ridge: float = 10.0
-                     ) -> dict[str, tuple[Estimator, bool, bool]]:
-    """name -> (estimator, log target, scaled). ``ridge`` is a penalty on the sum over rows."""
-    boosted = dict(maxIter=rounds, maxDepth=3, stepSize=0.035, minInstancesPerNode=8,
-                   subsamplingRate=0.85, seed=SEED)
+def value_candidates(ridge: float = 10.0) -> dict[str, tuple[Estimator, bool, bool]]:
+    """name -> (estimator, log target, scaled) of what Spark ML fits. ``ridge`` is a penalty on the sum over rows."""
+    return {"ridge_log1p": (LinearRegression(elasticNetParam=0.0, regParam=ridge), True, True)}
+
+
+BOOSTED_VALUES = ("boosted_log1p", "boosted_squared_error", "tweedie", "hurdle")
+
+
+# The settings of the boosted value candidates.
+def value_boosts(name: str, weight: Column, rounds: int = 360, power: float = RollingSettings.tweedie_power
+                 ) -> list[boosting.Boost]:
+    """The models of a candidate over rows of positive weight; the hurdle has an occurrence and a magnitude."""
+    settings = dict(rounds=rounds, depth=3, rate=0.035, min_weight=8.0, row_share=0.85, column_share=0.9,
+                    ridge=12.0, power=power, seed=SEED)
+    value = F.col(TARGET).cast("double")
+    positive = F.when(value > 0, weight)
     return {
-        "ridge_log1p": (LinearRegression(elasticNetParam=0.0, regParam=ridge), True, True),
-        "boosted_log1p": (GBTRegressor(**boosted), True, False),
-        "boosted_squared_error": (GBTRegressor(**boosted), False, False),
-        "tweedie": (GeneralizedLinearRegression(
-            family="tweedie", variancePower=power, linkPower=0.0, regParam=0.1, maxIter=25),
-            False, True),
-    }
+        "boosted_log1p": [boosting.Boost("squared", F.log1p(value), weight, **settings)],
+        "boosted_squared_error": [boosting.Boost("squared", value, weight, **settings)],
+        "tweedie": [boosting.Boost("tweedie", value, weight, **settings)],
+        "hurdle": [boosting.Boost("logistic", (value > 0).cast("double"), weight, **settings),
+                   boosting.Boost("tweedie", value, positive, **settings)],
+    }[name]
 
 
 @dataclass(frozen=True)
-class HurdleModel:
-    """P(value > 0) times the expected value given that, inside [0, largest training value]."""
+class BoostedValue:
+    """Boosted trees of one candidate; predictions stay inside [0, largest training value]."""
 
-    occurrence: PipelineModel | None
-    magnitude: PipelineModel | None
-    features: tuple[str, ...]
-    share: float
+    name: str
+    parts: tuple[boosting.BoostedModel, ...]
     top: float
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        if self.magnitude is None:
-            return rows.withColumn(output, F.lit(0.0))
-        scored = rows
-        if self.occurrence is None:
-            scored = scored.withColumn("__p", F.lit(self.share))
-        else:
-            scored = score_binary(self.occurrence, scored, self.features, "__p")
-        sized = transform(self.magnitude, scored, self.features)
-        value = F.col("__p") * F.greatest(F.col("prediction"), F.lit(0.0))
-        return sized.withColumn(output, F.least(F.greatest(value, F.lit(0.0)), F.lit(self.top))
-                                ).select(*rows.columns, output)
-
-
-def fit_hurdle(train: DataFrame, features: Sequence[str], occurrence: Estimator,
-               magnitude: Estimator) -> HurdleModel:
-    row = train.agg(F.avg((F.col(TARGET) > 0).cast("double")), F.max(TARGET).cast("double"),
-                    F.min(TARGET).cast("double")).first()
-    share, top, low = (float(x) for x in row)
-    if low < 0:
-        raise ValueError("hurdle targets must not be negative")
-    chance = size = None
-    if 0 < share < 1:
-        flagged = train.withColumn("__y", (F.col(TARGET) > 0).cast("double"))
-        chance = fit_pipeline(flagged, features, occurrence.copy(
-            {occurrence.getParam("labelCol"): "__y"}), False)
-    if share > 0:
-        size = fit_pipeline(train.where(F.col(TARGET) > 0).withColumn(
-            "__y", F.col(TARGET).cast("double")), features, magnitude.copy(
-            {magnitude.getParam("labelCol"): "__y"}), False)
-    return HurdleModel(chance, size, tuple(features), share, top)
-
-
-def hurdle_parts(rounds: int = 360) -> tuple[Estimator, Estimator]:
-    """Occurrence and magnitude estimators of the hurdle candidate."""
-    settings = dict(maxIter=rounds, maxDepth=3, stepSize=0.035, minInstancesPerNode=8, subsamplingRate=0.85, seed=SEED)
-    return GBTClassifier(**settings), GBTRegressor(**settings)
+        scores = [p.score() for p in self.parts]
+        value = F.expm1(scores[0]) if self.name == "boosted_log1p" else scores[0]
+        for score in scores[1:]:  # the chance of any value times its size
+            value = value * score
+        return rows.withColumn(output, F.least(F.greatest(value, F.lit(0.0)), F.lit(self.top)))
+
+
+def row_key(rows: DataFrame) -> Column:
+    """A number that names a snapshot row for row sampling."""
+    return F.xxhash64(*[c for c in ("customer_id", "cutoff_timestamp") if c in rows.columns])
+
+
+def fit_boosted_values(rows: DataFrame, features: Sequence[str], asked: Sequence[tuple[str, Column]],
+                       rounds: int = 360) -> list[BoostedValue]:
+    """One model for each (candidate, weight of the rows), all grown in the same passes over the rows."""
+    low = rows.agg(F.min(TARGET).cast("double")).first()[0]
+    if (low or 0.0) < 0 and any(name in ("tweedie", "hurdle") for name, _ in asked):
+        raise ValueError("targets must not be negative")
+    tops = rows.agg(*[F.coalesce(F.max(F.when(w > 0, F.col(TARGET))).cast("double"), F.lit(0.0)) for _, w in asked]).first()
+    boosts = [value_boosts(name, weight, rounds) for name, weight in asked]
+    fitted = iter(boosting.fit(rows, features, row_key(rows), [b for own in boosts for b in own]))
+    return [BoostedValue(name, tuple(next(fitted) for _ in own), float(top))
+            for (name, _), own, top in zip(asked, boosts, tops)]
 
 
 def value_fits(features: Sequence[str], rounds: int = 360) -> dict[str, Callable[[DataFrame], object]]:
     """name -> a fit of training rows, for each of the five value candidates."""
     fits: dict[str, Callable[[DataFrame], object]] = {
         name: (lambda train, c=candidate: fit_value(train, features, *c))
-        for name, candidate in value_candidates(rounds).items()}
-    fits["hurdle"] = lambda train: fit_hurdle(train, features, *hurdle_parts(rounds))
+        for name, candidate in value_candidates().items()}
+    for name in BOOSTED_VALUES:
+        fits[name] = lambda train, n=name: fit_boosted_values(train, features, [(n, F.lit(1.0))], rounds)[0]
     return fits
 
 
-def evaluate_value_candidates(dataset: DataFrame, fits: Mapping[str, Callable[[DataFrame], object]],
-                              folds: int) -> tuple[DataFrame, DataFrame]:
-    """Grouped cross-validation on train rows and metrics on validation rows, as metric rows.
+def fit_value_candidates(dataset: DataFrame, features: Sequence[str], folds: int, rounds: int = 360
+                         ) -> dict[tuple[str, int | None], object]:
+    """(candidate, fold left out or None) -> fitted model, on the rows of ``partition`` train.
 
-    ``dataset`` has ``fold`` on its training rows. The fits are independent and run side by side.
+    The boosted candidates of all folds share one binned table and its passes.
     """
+    train = dataset.where(F.col("partition") == "train")
+    asked = [(name, fold) for name in value_candidates() for fold in (*range(folds), None)]
+    fitted: dict = dict(zip(asked, side_by_side([
+        lambda n=name, f=fold: fit_value(train if f is None else train.where(F.col("fold") != f), features,
+                                         *value_candidates()[n]) for name, fold in asked]), strict=True))
+    asked = [(name, fold) for name in BOOSTED_VALUES for fold in (*range(folds), None)]
+    weights = {fold: F.lit(1.0) if fold is None else F.when(F.col("fold") != fold, 1.0).otherwise(0.0)
+               for fold in (*range(folds), None)}
+    return fitted | dict(zip(asked, fit_boosted_values(
+        train, features, [(name, weights[fold]) for name, fold in asked], rounds), strict=True))
+
+
+def evaluate_value_candidates(dataset: DataFrame, fitted: Mapping[tuple[str, int | None], object],
+                              folds: int) -> tuple[DataFrame, DataFrame]:
+    """Metrics of every candidate on the folds it left out, and of its last fit on validation rows."""
     train, validation = (dataset.where(F.col("partition") == p) for p in ("train", "validation"))
-    asked = [(name, fold) for name in fits for fold in (*range(folds), None)]
-    fitted = dict(zip(asked, side_by_side([
-        lambda n=name, f=fold: fits[n](train if f is None else train.where(F.col("fold") != f))
-        for name, fold in asked]), strict=True))
     fold_rows, validation_rows = None, None
-    for name in fits:
+    for name in dict.fromkeys(n for n, _ in fitted):
         scored = None
         for fold in range(folds):
             part = fitted[name, fold].predict(train.where(F.col("fold") == fold)).select(
                 TARGET, "predicted", "fold")
             scored = part if scored is None else scored.unionByName(part)
-        rows = evaluation.regression_metrics(scored, TARGET, "predicted", ["fold"]).withColumn(
+        rows = evaluation.regression_metrics(materialize(scored), TARGET, "predicted", ["fold"]).withColumn(
             "model", F.lit(name))
         fold_rows = rows if fold_rows is None else fold_rows.unionByName(rows)
-        final = evaluation.regression_metrics(fitted[name, None].predict(validation), TARGET, "predicted"
-                                              ).withColumn("model", F.lit(name))
+        final = evaluation.regression_metrics(materialize(fitted[name, None].predict(validation).select(
+            TARGET, "predicted")), TARGET, "predicted").withColumn("model", F.lit(name))
         validation_rows = final if validation_rows is None else validation_rows.unionByName(final)
     return fold_rows, validation_rows
 

@@ -133,8 +133,10 @@ def grid_search(ws):
 
 
 def _report(ws, name):
-    score = models.score_binary(_churn_model(ws, name), _validation(ws), selected_features(ws))
-    return models.binary_report(score.select("churn", "probability_1"), name)
+    # two metrics read the scores: they are written once
+    score = ws.stage(f"churn_scores_{name}", lambda: models.score_binary(
+        _churn_model(ws, name), _validation(ws), selected_features(ws)).select("churn", "probability_1"))
+    return models.binary_report(score, name)
 
 
 for _id, _name in (("h6_churn_logistic_regression", "logistic_regression"),
@@ -149,11 +151,14 @@ for _id, _name in (("h6_churn_logistic_regression", "logistic_regression"),
 
 # --- value --------------------------------------------------------------------------------------
 def _value_report(ws, name):
-    train, validation = (ws.rolling_table.where(F.col("partition") == p)
-                         for p in ("train", "validation"))
-    fitted = _model(ws, f"value_{name}", lambda: models.value_fits(rolling.CLV_FEATURES)[name](train))
-    return evaluation.regression_metrics(
-        fitted.predict(validation), models.TARGET, "predicted").withColumn("model", F.lit(name))
+    scored = ws.stage(f"value_scores_{name}", lambda: _value_model(ws, name).predict(
+        ws.rolling_table.where("partition = 'validation'")).select(models.TARGET, "predicted"))
+    return evaluation.regression_metrics(scored, models.TARGET, "predicted").withColumn("model", F.lit(name))
+
+
+def _value_model(ws, name):
+    return _model(ws, f"value_{name}", lambda: models.value_fits(rolling.CLV_FEATURES)[name](
+        ws.rolling_table.where("partition = 'train'")))
 
 
 for _id, _name in (("h19_value_ridge_log1p", "ridge_log1p"),
@@ -165,10 +170,7 @@ for _id, _name in (("h19_value_ridge_log1p", "ridge_log1p"),
 
 @query("h22_value_hurdle")
 def value_hurdle(ws):
-    train, validation = (ws.rolling_table.where(F.col("partition") == p)
-                         for p in ("train", "validation"))
-    fitted = _model(ws, "value_hurdle", lambda: models.value_fits(rolling.CLV_FEATURES)["hurdle"](train))
-    return fitted.predict(validation).select(
+    return _value_model(ws, "hurdle").predict(ws.rolling_table.where("partition = 'validation'")).select(
         "customer_id", F.date_format("cutoff_timestamp", "yyyy-MM-dd").alias("cutoff"),
         models.TARGET, "predicted")
 
@@ -181,8 +183,8 @@ def value_cross_validation(ws):
     both = dealt.unionByName(dataset.where("partition = 'validation'").withColumn(
         "fold", F.lit(-1)))
     table = ws.stage("rolling_folds", lambda: both)
-    folds, final = models.evaluate_value_candidates(
-        table, models.value_fits(rolling.CLV_FEATURES), ws.settings.rolling.folds)
+    folds, final = models.evaluate_value_candidates(table, models.fit_value_candidates(
+        table, rolling.CLV_FEATURES, ws.settings.rolling.folds), ws.settings.rolling.folds)
     return evaluation.candidate_summary(folds, final)
 
 
@@ -219,8 +221,9 @@ def _sequence_model(ws):
 
 @query("f10_purchase_within_30_days")
 def purchase_model(ws):
-    rows = models.score_sequences(_sequence_model(ws), padded_sequences(ws).where(
-        "partition = 'validation'"), CATEGORIES).select("label", "probability_1")
+    rows = ws.stage("sequence_scores", lambda: models.score_sequences(
+        _sequence_model(ws), padded_sequences(ws).where("partition = 'validation'"), CATEGORIES).select(
+        "label", "probability_1"))
     return models.binary_report(rows, "sequence_logistic", "label")
 
 
@@ -353,8 +356,7 @@ def churn_linear_importance(ws):
 
 @query("k1_value_linear_importance")
 def value_linear_importance(ws):
-    _value_report(ws, "ridge_log1p")
-    fitted = ws.__dict__["_models"]["value_ridge_log1p"]
+    fitted = _value_model(ws, "ridge_log1p")
     return explain.global_importance(explain.linear_contributions(
         fitted.pipeline, ws.rolling_table.where("partition = 'validation'"), rolling.CLV_FEATURES))
 
@@ -384,6 +386,29 @@ def local_drivers(ws):
     return _drivers(ws)
 
 
+def _tree_contributions(ws):
+    """Shapley values of the log of the Tweedie trees' prediction, of every validation snapshot."""
+    return ws.stage("tree_contributions", lambda: _value_model(ws, "tweedie").parts[0].contributions(
+        ws.rolling_table.where("partition = 'validation'"), ["customer_id", "cutoff_timestamp"]))
+
+
+@query("k1_value_tree_importance")
+def value_tree_importance(ws):
+    return explain.global_importance(_tree_contributions(ws))
+
+
+@query("k2_value_tree_contributions", f"""
+SELECT customer_id, strftime(cutoff, '%Y-%m-%d') AS cutoff, CAST({len(rolling.CLV_FEATURES)} AS BIGINT) AS features,
+       0.0::DOUBLE AS gap FROM rolled_table WHERE partition_name = 'validation'""")
+def value_tree_contributions(ws):
+    """How far contributions and base together are from the raw score: nothing, for every snapshot."""
+    total = _tree_contributions(ws).groupBy("customer_id", "cutoff_timestamp").agg(
+        F.count(F.lit(1)).alias("features"),
+        F.round(F.sum("contribution") + F.first("base") - F.first("raw_score"), 6).alias("gap"))
+    return total.select("customer_id", F.date_format("cutoff_timestamp", "yyyy-MM-dd").alias("cutoff"), "features",
+                        F.abs("gap").alias("gap"))
+
+
 @query("k3_representatives", """
 SELECT 'low' AS risk_profile, arg_min(customer_id, (score, customer_id)) AS customer_id,
        min(score) AS probability FROM scored

@@ -8,8 +8,6 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from basketlake.operators import (
@@ -204,13 +202,15 @@ def test_model_contracts(training):
     scored = models.score_binary(models.fit_binary(train, names, family), validation, names)
     assert scored.where("probability_1 not between 0 and 1").count() == 0
     assert models.binary_report(scored, "lr").first().roc_auc > 0.8
-    hurdle = models.fit_hurdle(train, names, GBTClassifier(maxIter=3), GBTRegressor(maxIter=3))
     top = train.agg(F.max("clv_180d_target")).first()[0]
-    assert hurdle.predict(validation).where(
-        (F.col("predicted") < 0) | (F.col("predicted") > top)).count() == 0
-    nothing = models.fit_hurdle(train.withColumn("clv_180d_target", F.lit(0.0)), names,
-                                GBTClassifier(maxIter=3), GBTRegressor(maxIter=3))
+    fits = models.value_fits(names, rounds=3)
+    for name in models.BOOSTED_VALUES:
+        assert fits[name](train).predict(validation).where(
+            (F.col("predicted") < 0) | (F.col("predicted") > top)).count() == 0
+    nothing = fits["hurdle"](train.withColumn("clv_180d_target", F.lit(0.0)))
     assert nothing.predict(validation).where("predicted <> 0").count() == 0
+    with pytest.raises(ValueError):
+        fits["tweedie"](train.withColumn("clv_180d_target", F.lit(-1.0)))
     anomaly = models.fit_anomaly(train, names, 2)
     errors = anomaly.errors(validation)
     assert errors.where("anomaly_score < 0").count() == 0
@@ -243,10 +243,17 @@ def test_macro_f1_counts_classes_alike(spark):
 def test_every_value_candidate_is_evaluated(training):
     names = ["a", "b", "c"]
     table = training.withColumn("fold", F.pmod(F.xxhash64("customer_id"), F.lit(2)).cast("int"))
-    fits = models.value_fits(names, rounds=2)
-    assert set(fits) == {"ridge_log1p", "boosted_log1p", "boosted_squared_error", "tweedie", "hurdle"}
-    folds, final = models.evaluate_value_candidates(table, fits, 2)
-    assert folds.count() == 10 and {r.model for r in final.collect()} == set(fits)
+    fitted = models.fit_value_candidates(table, names, 2, rounds=4)
+    candidates = {"ridge_log1p", *models.BOOSTED_VALUES}
+    assert set(fitted) == {(n, f) for n in candidates for f in (0, 1, None)}
+    folds, final = models.evaluate_value_candidates(table, fitted, 2)
+    assert folds.count() == 10 and {r.model for r in final.collect()} == candidates
+    # a model grown beside others is the one grown alone on the rows outside its fold
+    alone = models.value_fits(names, rounds=4)["tweedie"](table.where("partition = 'train'"))
+    values = np.random.default_rng(1).normal(size=(20, 3))
+    assert np.allclose(alone.parts[0].raw_of(values), fitted["tweedie", None].parts[0].raw_of(values), atol=1e-9)
+    assert fitted["tweedie", 0].top == table.where("partition = 'train' and fold <> 0").agg(
+        F.max("clv_180d_target")).first()[0]
 
 
 def test_schema_drops_constants_and_copies(training):
