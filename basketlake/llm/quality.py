@@ -120,11 +120,13 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, settings: Train
 
     ``docs`` has doc_id and text, ``labels`` doc_id and quality. Of each class the rows of the least
     id hashes are taken, at most ``per_class``; the log odds are then shifted to the shares of the
-    classes among all learnable rows, which are counted in full. The fit is one task over the bounded
-    sample; the result has one number a bucket.
+    classes among all learnable ids, which are counted in full. An id that several rows of ``labels``
+    name counts once, with its least label; of several documents of one id the one of the least text
+    hash is learnt from. A null text is empty. The fit is one task over the bounded sample; the result
+    has one number a bucket.
     """
     usable = labels.where(learnable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     totals = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     order = F.xxhash64("doc_id", F.lit(settings.seed))
     sample = None
@@ -132,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, settings: Train
         part = usable.where(F.col("quality") == label).orderBy(order, "doc_id").limit(settings.per_class)
         sample = part if sample is None else sample.unionByName(part)
     # at most 2 x per_class rows: the broadcast has a fixed bound
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", "quality", order.alias("turn"))
+    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "quality", order.alias("turn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, examples = Features(settings), []

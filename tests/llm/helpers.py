@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, score string"
 
@@ -30,3 +31,37 @@ def documents(spark, texts=None, ids=None):
 def stored(docs, folder) -> str:
     docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     return str(folder)
+
+
+# --- the cutting rule of fingerprints, in Python ---
+def chosen(mask, *units):
+    import xxhash
+
+    seed = 42
+    for unit in units:
+        seed = xxhash.xxh64_intdigest(unit.encode(), seed)
+    return seed & mask == 0
+
+
+def after_words(part):
+    return re.split("\n ?", " ".join(w + "\n" * chosen(7, w) for w in part.split(" ")))
+
+
+def after_characters(part):
+    return "".join(c + "\n" * chosen(31, *part[max(0, i - 2):i + 1]) for i, c in enumerate(part)).split("\n")
+
+
+def evenly(part):
+    return [part[i:i + 120] for i in range(0, len(part), 120)]
+
+
+def paragraphs(text):
+    found = re.split(r"(?<=[.!?])[ \t]+|\n+", text)
+    for cut in (after_words, after_characters, evenly):
+        found = [q for p in found for q in (cut(p) if len(p) > 120 else [p])]
+    return {p for p in found if p}
+
+
+def alike(a, b):
+    a, b = paragraphs(a), paragraphs(b)
+    return len(a & b) / len(a | b) if a | b else 1.0

@@ -4,22 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketlake.llm import fingerprints, queries
-from tests.llm.helpers import awkward_texts, documents, stored
-
-
-def paragraphs(text):
-    return {p for p in re.split(r"(?<=\.) |\n", text) if p}
-
-
-def alike(a, b):
-    a, b = paragraphs(a), paragraphs(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
+from tests.llm.helpers import alike, awkward_texts, documents, stored
 
 
 def prose(n, seed):
