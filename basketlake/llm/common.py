@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,17 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def carried(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The named columns with all others in one struct, so that no name clashes; and the way back."""
+    columns = docs.columns
+    others = [c for c in columns if c not in own]
+    if not others:
+        return docs, lambda out: out.select(*columns)
+    packed = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in others]).alias("carried"))
+    return packed, lambda out: out.select(*[
+        F.col(c) if c in own else F.col(f"carried.`{c}`").alias(c) for c in columns])
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from basketlake.llm.chunks import (by_part, chunked, distinct, from_planes, joined, pack_keys, planes,
                                    ranges, table, unpack_keys, word_hashes)
-from basketlake.llm.common import texts
+from basketlake.llm.common import carried, texts
 
 GRAM = 8
 ANCHORS = "part int, chunk int, keys binary, counts binary"
@@ -246,6 +246,9 @@ def repeated_words(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """The same rows and columns (doc_id, text and any others) without the repeated words.
 
-    A text that loses words becomes its kept words joined by one space; others stay as they are.
+    A text that loses words becomes its kept words joined by one space; others stay as they are, nulls
+    and empty texts too. Rows of one id count as one document. Other columns may have any names. An
+    empty table stays empty.
     """
-    return _removal(docs, window, True)
+    packed, back = carried(docs)
+    return back(_removal(packed, window, True))

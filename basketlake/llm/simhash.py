@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlake.llm.common import components, tasks, texts, written
+from basketlake.llm.common import carried, components, tasks, texts, written
 
 LOW_BITS = 0x5555555555555555
 TILE = 2048
@@ -206,13 +206,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, doc_id:
 def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The same columns, and of each component the row with the smallest id alone.
 
-    Null ids stand after all others; of rows that repeat an id and a fingerprint one stays.
+    Null ids stand after all others; of rows that repeat an id and a fingerprint one stays. Null and
+    empty texts are alike. Other columns may have any names. An empty table stays empty.
     """
-    tagged = written(_with_fingerprint(docs, words, "text"), "tagged")
+    packed, back = carried(docs)
+    tagged = written(_with_fingerprint(packed, words, "text"), "tagged")
     prints = tagged.select("doc_id", "fp")
     named = _named(prints, distance)
     first = F.struct(F.col("first").isNull().alias("missing"), "first", "fp")
     keepers = named.groupBy("root").agg(F.min(first).alias("k")).select(
         F.col("k.first").alias("keep_id"), F.col("k.fp").alias("keep_fp"))
     kept = tagged.join(keepers, (F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.dropDuplicates(["fp", "doc_id"]).select(*docs.columns)
+    return back(kept.dropDuplicates(["fp", "doc_id"]))
