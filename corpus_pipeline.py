@@ -1,6 +1,7 @@
 """Training-data pipeline over ``documents``: five operators, one stage each.
 
-Stages talk through Parquet tables. All but the last return the columns of the documents; the last
+Stages talk through Parquet tables. Null and empty texts, null and repeated ids, repeated rows and columns
+of any other names pass through them as any row does; an empty table stays empty. All but the last return the columns of the documents; the last
 returns the token sequences that the kept texts are packed into.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlake.llm import packing, quality, repeats, secrets, simhash
-from basketlake.llm.common import documents, table, written
+from basketlake.llm.common import carried, documents, table, written
 
 QUALITY_LEAST = 0.3
 
@@ -29,8 +30,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
     learnable = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     model = quality.train(own, table(spark, folder, "labels"), learnable)
-    score = "quality_classifier_score"
-    return quality.scored(docs, model, score).where(F.col(score) >= QUALITY_LEAST).drop(score)
+    packed, back = carried(docs)
+    return back(quality.scored(packed, model).where(F.col("score") >= QUALITY_LEAST))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
