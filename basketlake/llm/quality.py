@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from basketlake.llm.chunks import joined, word_hashes
 from basketlake.llm.common import texts
 
-MEMO = 300_000
+MEMO, MEMO_BYTES, BLOCK = 300_000, 32_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -160,26 +160,129 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, settings: Train
     return np.frombuffer(found["values"], np.float32), found["bias"] + shift
 
 
-def text_scores(column: pa.Array, features: Features, values: np.ndarray, bias: float,
-                memo: dict[bytes, tuple[float, int]]) -> list[float]:
-    """Probability of class 1 of each whole text; a text without words has the bias alone."""
-    out = []
-    for text in texts(column):
-        words, hashes = word_hashes(text)
+def crc_steps() -> np.ndarray:
+    """CRC-32 of every byte, from its polynomial."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, (steps >> 1) ^ np.uint32(0xEDB88320), steps >> 1)
+    return steps
+
+
+class WordValues(dict):
+    """A number for every word met, with the word's hash, the sum of its features' values and their count.
+
+    Looking a word up numbers it; ``settle`` then works out all new words side by side. The table is
+    emptied between blocks once it holds ``MEMO`` words or ``MEMO_BYTES`` of them.
+    """
+
+    def __init__(self, settings: Training, values: np.ndarray):
+        super().__init__()
+        self.settings, self.values, self.steps = settings, values.astype(np.float64), crc_steps()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new, self.size = [], 0
+        self.hashes, self.sums, self.counts = np.array([], np.uint64), np.array([]), np.array([], np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.settle()
+        return found
+
+    def settle(self) -> None:
+        import xxhash
+
+        words, self.new = self.new, []
         if not words:
-            out.append(1.0 / (1.0 + np.exp(-bias)))
-            continue
-        if len(memo) > MEMO:
-            memo.clear()
-        for word in set(words):
-            if word not in memo:
-                ids = features.of_word(word)
-                memo[word] = (float(values[ids].sum()), len(ids))
-        sums, counts = zip(*map(memo.__getitem__, words))
-        between = features.between(hashes)
-        mean = (sum(sums) + float(values[between].sum())) / (sum(counts) + len(between))
-        out.append(float(1.0 / (1.0 + np.exp(-np.clip(mean + bias, -500, 500)))))
-    return out
+            return
+        self.size += sum(map(len, words))
+        sums, counts = self.of_words(words)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.sums = np.concatenate([self.sums, sums])
+        self.counts = np.concatenate([self.counts, counts])
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and counts of the words' features: the CRC of the gram at every character, a byte a step."""
+        import zlib
+
+        settings, mask = self.settings, self.settings.buckets - 1
+        letters = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        begins = (letters & 0xC0) != 0x80  # first bytes of characters
+        sizes = np.add.reduceat(begins.astype(np.int64), np.cumsum(sizes) - sizes)
+        places = np.append(np.flatnonzero(begins), len(letters))
+        firsts = np.cumsum(sizes) - sizes
+        room = np.repeat(firsts + sizes, sizes) - np.arange(len(places) - 1)  # characters left in the word
+        total, low, high = np.zeros(len(room)), *settings.grams
+        for n in range(low, high + 1):
+            at = np.flatnonzero(room >= n)
+            start = places[at]
+            longer = places[at + n] - start
+            state = np.full(len(at), n ^ 0xFFFFFFFF, np.uint32)
+            for i in range(n):
+                state = self.steps[(state ^ letters[start + i]) & 0xFF] ^ (state >> 8)
+            for i in range(n, int(longer.max(initial=0))):
+                live = np.flatnonzero(longer > i)
+                state[live] = self.steps[(state[live] ^ letters[start[live] + i]) & 0xFF] ^ (state[live] >> 8)
+            total[at] += self.values[~state & np.uint32(mask)]
+        whole = np.fromiter((zlib.crc32(word, 1) for word in words), np.int64, len(words)) & mask
+        counts = 1 + sum(np.maximum(0, sizes - n + 1) for n in range(low, high + 1))
+        return np.add.reduceat(total, firsts) + self.values[whole], counts
+
+
+def blocks(found: Iterator[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words of whole texts, some ``BLOCK`` at a time, and the number of words of each text."""
+    words, sizes = [], []
+    for text in found:
+        own = text.split()
+        words += own
+        sizes.append(len(own))
+        if len(words) >= BLOCK:
+            yield words, np.array(sizes, np.int64)
+            words, sizes = [], []
+    if sizes:
+        yield words, np.array(sizes, np.int64)
+
+
+def text_scores(column: pa.Array, features: Features, values: np.ndarray, bias: float, memo: dict) -> np.ndarray:
+    """Probability of class 1 of each whole text; a text without words has the bias alone.
+
+    ``memo`` keeps the values of the words of earlier texts.
+    """
+    settings = features.settings
+    if "words" not in memo:
+        memo["words"] = WordValues(settings, values)
+    known: WordValues = memo["words"]
+    means = []
+    for words, sizes in blocks(texts(column)):
+        if len(known) > MEMO or known.size > MEMO_BYTES:
+            known.reset()
+        mean = np.zeros(len(sizes))
+        if words:
+            at = known.numbers(words)
+            hashes, total, count = known.hashes[at], known.sums[at], known.counts[at]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pairs = (joined(hashes[:-1], hashes[1:]) & np.uint64(settings.buckets - 1)).astype(np.int64)
+            inside = owner[:-1] == owner[1:]
+            total[1:] += np.where(inside, known.values[pairs], 0.0)
+            count[1:] += inside
+            for d in range(1, settings.reach + 1):
+                again = (hashes[:-d] == hashes[d:]) & (owner[:-d] == owner[d:])
+                total[d:] += again * known.values[d]
+                count[d:] += again
+            held = np.flatnonzero(sizes)
+            firsts = (np.cumsum(sizes) - sizes)[held]
+            mean[held] = np.add.reduceat(total, firsts) / np.add.reduceat(count, firsts)
+        means.append(mean)
+    mean = np.concatenate(means) if means else np.array([])
+    return 1.0 / (1.0 + np.exp(-np.clip(mean + bias, -500, 500)))
 
 
 def scored(docs: DataFrame, model, column: str = "score", settings: Training = Training(),

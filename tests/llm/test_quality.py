@@ -77,3 +77,20 @@ def test_missing_classes(spark, tmp_path, labels):
 
 def test_empty_tables(spark, tmp_path):
     assert queries.op6_quality_classifier(spark, folder_with(spark, tmp_path, [], [])).count() == 0
+
+
+def test_scores_of_any_characters(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    monkeypatch.setattr(quality, "MEMO", 30)  # emptied between blocks
+    settings = quality.Training(buckets=1 << 10)
+    rng = random.Random(8)
+    letters = "aZ9<>éßЖ中\U0001f600\u0000"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(50)] + \
+        [None, "", " \n", "中", "a", "a a a a a a", "x" * 30_000] + [t for t in awkward_texts() if t]
+    values = np.random.default_rng(3).normal(size=settings.buckets).astype(np.float32)
+    got = quality.text_scores(pa.array(texts), quality.Features(settings), values, 0.25, {})
+    for text, score in zip(texts, got, strict=True):
+        at = quality.Features(settings).of_text((text or "").encode())
+        mean = values[at].astype(float).mean() if len(at) else 0.0
+        assert score == pytest.approx(1 / (1 + np.exp(-(mean + 0.25))), rel=1e-6)
