@@ -26,6 +26,7 @@ from basketlake.llm.common import texts
 
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 ADD = 0.1
+SLICE = 1 << 16  # tokens of a text that are Python numbers at once
 QUESTION = "level int, part int, chunk int, keys binary, counts binary"
 ANSWER = "chunk int, level int, part int, counts binary"
 SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
@@ -42,15 +43,14 @@ def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.cumsum([0, *sizes])[:-1].astype(np.int64)
 
 
-def grams(tokens: np.ndarray, firsts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(tokens: np.ndarray, firsts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length k, the places where a gram of k tokens of one text ends, and its key there."""
     depth = np.arange(len(tokens)) - np.repeat(firsts, np.diff(np.append(firsts, len(tokens))))
-    keys, out = tokens.copy(), []
+    keys = tokens
     for k in range(1, order + 1):
         if k > 1:
             keys = np.concatenate([keys[:1], joined(keys[:-1], tokens[1:])])
-        out.append((np.flatnonzero(depth >= k - 1), keys))
-    return out
+        yield np.flatnonzero(depth >= k - 1), keys
 
 
 def _ask(order: int, parts: int):
@@ -89,76 +89,47 @@ def _answer(rows: pa.Table) -> pa.Table:
 class BackoffAutomaton:
     """States, arcs and failure arcs of the n-grams that occur in some texts, with their totals.
 
-    ``levels`` has for each gram length the places, the codes at all places (-1: none) and the total
-    by code. State 0 is the root; the state of a seen gram of length k < order follows.
+    ``levels`` has for each gram length the codes of the grams that end at all places (-1: none) and
+    the total by code. A state is a seen gram of fewer than ``order`` tokens, the root the empty one.
+    The arc from the state of k tokens that ends before a place, with the token there, is the gram of
+    k + 1 tokens that ends at the place, so weights lie in one array a length, addressed by its code;
+    the last element of each stands for -1.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scale: float, weight: float):
-        order = len(levels)
-        words, codes = levels[0][2], levels[0][1]
-        lower = np.log10((words + ADD) / scale)
-        self.root_weight = lower.tolist()
-        offsets, base = [], 1
-        for _, _, totals in levels[:max(1, order - 1)]:
-            offsets.append(base)
-            base += len(totals)
-        self.size = len(words)
-
-        def state(level: int, at: np.ndarray) -> np.ndarray:
-            """State of the gram of the level that ends at the places; the root where it is not seen."""
-            if level == 0:
-                return np.zeros(len(at), np.int64)
-            code = levels[level - 1][1][at]
-            return np.where((code >= 0) & (levels[level - 1][2][code] > 0), offsets[level - 1] + code, 0)
-
-        self.root_next = np.zeros(len(words), np.int64) if order == 1 else np.where(
-            words > 0, offsets[0] + np.arange(len(words)), 0)
-        self.root_next = self.root_next.tolist()
-        fail_weight, fail_to = np.zeros(base), np.zeros(base, np.int64)
-        self.arcs: dict[int, int] = {}
-        self.arc_weight: list[float] = []
-        self.arc_next: list[int] = []
-        place_log = lower[codes]  # log10 of the level's probability at every place
-        for level in range(2, order + 1):
-            history = levels[level - 2]
-            places, at, totals = levels[level - 1]
-            before = history[2][history[1][places - 1]]
-            p = (totals[at[places]] + weight * 10.0 ** place_log[places]) / (before + weight)
-            place_log = place_log.copy()
-            place_log[places] = np.log10(p)
-            # one place for each distinct gram and history
-            code, first = np.unique(at[places], return_index=True)
-            chosen = places[first][totals[code] > 0]
-            source = state(level - 1, chosen - 1)
-            arcs = source * self.size + codes[chosen]
-            self.arcs.update(zip(arcs.tolist(), range(len(self.arc_weight), len(self.arc_weight) + len(arcs))))
-            self.arc_weight += place_log[chosen].tolist()
-            self.arc_next += state(min(level, order - 1), chosen).tolist()
-            code, first = np.unique(history[1][history[0]], return_index=True)
-            ends = history[0][first]
-            held = offsets[level - 2] + code
-            fail_weight[held] = np.log10(weight / (history[2][code] + weight))
-            fail_to[held] = state(level - 2, ends)
-        self.fail_weight, self.fail_to = fail_weight.tolist(), fail_to.tolist()
-
-    def score(self, start: int, words: list[int]) -> float:
-        """One traversal: log10 probability of the words, from the state of the start mark's code."""
-        arcs, size, weight, to = self.arcs, self.size, self.arc_weight, self.arc_next
-        fail_weight, fail_to = self.fail_weight, self.fail_to
-        root_weight, root_next = self.root_weight, self.root_next
-        state, total, find = root_next[start], 0.0, self.arcs.get
-        for word in words:
-            while state:
-                arc = find(state * size + word)
-                if arc is not None:
-                    total += weight[arc]
-                    state = to[arc]
-                    break
-                total += fail_weight[state]
-                state = fail_to[state]
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], scale: float, weight: float):
+        self.codes, self.seen, self.weight, self.fail = [], [], [], [None]
+        self.top = len(levels) - 1
+        for codes, totals in levels:
+            if not self.codes:
+                p = (totals + ADD) / scale
             else:
-                total += root_weight[word]
-                state = root_next[word]
+                places = np.flatnonzero(codes >= 0)
+                one = np.empty(len(totals), np.int64)
+                one[codes[places]] = places  # a place of each gram
+                before = histories[self.codes[-1][one - 1]]
+                p = (totals + weight * 10.0 ** self.weight[-1][self.codes[-1][one]]) / (before + weight)
+            histories = totals
+            self.codes.append(codes)
+            self.seen.append(np.append(totals > 0, False))
+            self.weight.append(np.append(np.log10(p), np.nan))
+            self.fail.append(np.append(np.log10(weight / (totals + weight)), np.nan))
+
+    def score(self, start: int, end: int) -> float:
+        """One traversal of the tokens after the start mark at ``start``: their log10 probability."""
+        top = self.top
+        state, total = int(self.seen[0][self.codes[0][start]]) if top else 0, 0.0  # tokens of the state's gram
+        for first in range(start, end - 1, SLICE):
+            last = min(end, first + SLICE + 1)
+            here = [codes[first:last] for codes in self.codes]
+            seen = [known[at].tolist() for known, at in zip(self.seen, here)]
+            weight = [arcs[at].tolist() for arcs, at in zip(self.weight, here)]
+            fail = [None] + [arcs[at].tolist() for arcs, at in zip(self.fail[1:], here[:top])]
+            for i in range(1, last - first):
+                while state and not seen[state][i]:
+                    total += fail[state][i - 1]
+                    state -= 1
+                total += weight[state][i]
+                state = min(state + 1, top) if seen[state][i] else 0
         return total
 
 
@@ -168,28 +139,23 @@ def _score(order: int, tokens_seen: int, distinct_seen: int, weight: float):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.combine_chunks()
         tokens, firsts = sequences(batch.column("text").combine_chunks())
-        answers: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for level, part, raw in zip(right.column("level").to_pylist(), right.column("part").to_pylist(),
-                                    by_part(right, "counts")):
-            answers.setdefault(level, []).append((part, from_planes(raw)))
+        rows = sorted(zip(right.column("level").to_pylist(), right.column("part").to_pylist(), range(len(right))))
         levels = []
         for level, (places, keys) in enumerate(grams(tokens, firsts, order), 1):
-            _, at = distinct(keys[places])
-            codes = np.full(len(tokens), -1, np.int64)
-            codes[places] = at
-            totals = np.concatenate([c for _, c in sorted(answers.get(level, []), key=lambda x: x[0])]
-                                    or [np.array([])]).astype(np.float64)
-            levels.append((places, codes, totals))
+            codes = np.full(len(tokens), -1, np.int32)
+            codes[places] = distinct(keys[places])[1]
+            totals = [from_planes(right.column("counts")[i].as_py()) for at, _, i in rows if at == level]
+            levels.append((codes, np.concatenate([*totals, np.array([], np.uint64)]).astype(np.float64)))
         automaton = BackoffAutomaton(levels, scale, weight)
-        codes = levels[0][1].tolist()
-        known = levels[0][2][levels[0][1]]
+        codes, totals = levels[0]
+        known = totals[codes]
         logs = np.log10((known + ADD) / scale)
         ends = np.append(firsts, len(tokens)).tolist()
         base, seen, scores = [], [], []
         for a, b in zip(ends, ends[1:]):
             base.append(float(logs[a + 1:b].sum()))
             seen.append(int((known[a + 1:b] > 0).sum()))
-            scores.append(automaton.score(codes[a], codes[a + 1:b]))
+            scores.append(automaton.score(a, b))
         return pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                          "n_tokens": pa.array([b - a - 1 for a, b in zip(ends, ends[1:])], pa.int64()),
                          "n_known": pa.array(seen, pa.int64()), "base_score": pa.array(base, pa.float64()),
