@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlake.operators import models
+from basketlake.operators import mixtures as gaussian, models
 from basketlake.session import materialize
 from basketlake.settings import SEGMENT_NAMES
 
@@ -61,37 +61,31 @@ def search(train: DataFrame, features: Sequence[str], kmeans: Sequence[int] = tu
     """Fit all candidates on scaled training rows, each from several starts, and keep its best.
 
     Returns the preprocessing, the chosen K-means and mixture models, and one report row each.
-    K-means wins by silhouette, then Davies-Bouldin; a mixture by BIC, then silhouette.
+    K-means wins by silhouette, then Davies-Bouldin; a mixture (diagonal covariances) by BIC, then
+    silhouette. All mixtures of all starts take their steps together.
     """
     prepared = models.fit_pipeline(train, features, None, True)
-    points = materialize(models.transform(prepared, train, features).select("features"))
+    points = materialize(models.transform(prepared, train, features).select("customer_id", "features"))
     n, p = points.count(), len(features)
     rows, fitted = [], {}
     # Starts are independent fits of many small jobs: a few run side by side.
-    tried = [("kmeans", k, s) for k in kmeans for s in range(kmeans_starts)] + [
-        ("gmm", k, s) for k in mixtures for s in range(mixture_starts)]
-
-    def start(kind: str, k: int, s: int):
-        if kind == "kmeans":
-            return KMeans(k=k, seed=SEED + s, predictionCol="cluster").fit(points)
-        return GaussianMixture(k=k, seed=SEED + s, maxIter=50, predictionCol="cluster").fit(points)
-
-    models_of: dict[tuple[str, int], list] = {}
-    for (kind, k, _), model in zip(tried, models.side_by_side([
-            lambda t=t: start(*t) for t in tried], 8), strict=True):
-        models_of.setdefault((kind, k), []).append(model)
+    tried = [(k, s) for k in kmeans for s in range(kmeans_starts)]
+    models_of: dict[int, list] = {}
+    for (k, _), model in zip(tried, models.side_by_side([
+            lambda t=t: KMeans(k=t[0], seed=SEED + t[1], predictionCol="cluster").fit(points) for t in tried], 8), strict=True):
+        models_of.setdefault(k, []).append(model)
     for k in kmeans:
-        model = min(models_of["kmeans", k], key=lambda m: m.summary.trainingCost)
+        model = min(models_of[k], key=lambda m: m.summary.trainingCost)
         silhouette, index = _measure(model.transform(points), p)
         fitted["kmeans", k] = model
         rows.append(("kmeans", k, silhouette, index, float(model.summary.trainingCost), None))
+    values = vector_to_array("features")
+    found = gaussian.fit(points, values, F.col("customer_id"), mixtures, mixture_starts, seed=SEED) if mixtures else {}
     for k in mixtures:
-        model = max(models_of["gmm", k], key=lambda m: m.summary.logLikelihood)
-        silhouette, index = _measure(model.transform(points), p)
-        free = k - 1 + k * p + k * p * (p + 1) // 2
-        bic = -2.0 * model.summary.logLikelihood + free * math.log(n)
+        model = gaussian.best_of(found, k)
+        silhouette, index = _measure(model.assigned(points, values, "cluster"), p)
         fitted["gmm", k] = model
-        rows.append(("gmm", k, silhouette, index, None, float(bic)))
+        rows.append(("gmm", k, silhouette, index, None, model.bic(n)))
 
     def known(x):
         return x if x == x else -math.inf
@@ -109,15 +103,14 @@ def search(train: DataFrame, features: Sequence[str], kmeans: Sequence[int] = tu
     return prepared, pick, report
 
 
-def assign(rows: DataFrame, features: Sequence[str], prepared: PipelineModel, picked) -> DataFrame:
+def assign(rows: DataFrame, features: Sequence[str], prepared: PipelineModel, picked: Mapping) -> DataFrame:
     """(customer_id, partition, kmeans_segment, gmm_segment) for the given rows."""
-    points = models.transform(prepared, rows, features).select(
-        "customer_id", "partition", "features")
-    out = points
+    out = models.transform(prepared, rows, features).select("customer_id", "partition", "features")
     for name, model in picked.items():
-        out = model.copy({model.getParam("predictionCol"): f"{name}_segment",
-                          **({model.getParam("probabilityCol"): f"{name}_p"}
-                             if model.hasParam("probabilityCol") else {})}).transform(out)
+        if isinstance(model, gaussian.DiagonalMixture):
+            out = model.assigned(out, vector_to_array("features"), f"{name}_segment")
+        else:
+            out = model.copy({model.getParam("predictionCol"): f"{name}_segment"}).transform(out)
     return out.select("customer_id", "partition", *[f"{name}_segment" for name in picked])
 
 

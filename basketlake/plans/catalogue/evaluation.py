@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketlake.functions.columns import r6
-from basketlake.operators import evaluation, sequences
+from basketlake.operators import evaluation, folds, sequences
 from basketlake.plans.catalogue.registry import block, query
 
 
@@ -62,13 +62,21 @@ SELECT customer_id, max(bin) AS s, count(*) AS n FROM (
               FROM rolled_table WHERE partition_name = 'train'))) GROUP BY customer_id""")
 
 
-def value_folds(train, cfg):
-    """Training snapshots with ``bin`` and ``fold``: no customer in two folds, ten rank bins."""
+def _binned(train, cfg):
     named = train.withColumn("__snapshot", F.concat(
         "customer_id", F.lit("|"), F.date_format("cutoff_timestamp", "yyyy-MM-dd"))).withColumn(
         "__target", F.log1p("clv_180d_target"))
-    binned = evaluation.quantile_bins(named, "__target", "__snapshot", cfg.bins)
-    return evaluation.grouped_folds(binned, "bin", cfg.folds).drop("__snapshot", "__target")
+    return evaluation.quantile_bins(named, "__target", "__snapshot", cfg.bins).drop("__snapshot", "__target")
+
+
+def value_folds(train, cfg):
+    """Training snapshots with ``bin`` and ``fold``: no customer in two folds, ten rank bins."""
+    return evaluation.grouped_folds(_binned(train, cfg), "bin", cfg.folds)
+
+
+def balanced_value_folds(train, cfg):
+    """As ``value_folds``, with every bin shared evenly among the folds."""
+    return folds.balanced_group_folds(_binned(train, cfg), "bin", cfg.bins, cfg.folds)
 
 
 def _grouped(ws):
@@ -90,6 +98,34 @@ def fold_isolation(ws):
     return evaluation.fold_violations(_grouped(ws))
 
 
+block("binned_snapshots", """
+SELECT customer_id, CAST(greatest(ceil((r - 1) * 10.0 / (k - 1)) - 1, 0) AS INTEGER) AS bin
+FROM (SELECT customer_id, count(*) OVER () AS k, row_number() OVER (
+        ORDER BY ln(1 + clv_180d_target), md5('42|' || snapshot), snapshot) AS r
+      FROM (SELECT *, customer_id || '|' || strftime(cutoff, '%Y-%m-%d') AS snapshot
+            FROM rolled_table WHERE partition_name = 'train'))""")
+
+
+def _balanced(ws):
+    return ws.stage("balanced_folds", lambda: balanced_value_folds(ws.rolling_table.where("partition = 'train'").select(
+        "customer_id", "cutoff_timestamp", "clv_180d_target"), ws.settings.rolling))
+
+
+@query("h4_balanced_folds", """
+SELECT bin, count(*) AS n, max(own) AS largest_customer, true AS within_bound
+FROM (SELECT *, count(*) OVER (PARTITION BY bin, customer_id) AS own FROM binned_snapshots) GROUP BY bin""")
+def balanced_folds(ws):
+    """By bin: folds differ by no more rows than two of its largest customers have."""
+    return folds.fold_balance(_balanced(ws), "bin", ws.settings.rolling.folds).select(
+        "bin", "n", "largest_customer", (F.col("most") - F.col("fewest") <= 2 * F.col("largest_customer")).alias("within_bound"))
+
+
+@query("h4_balanced_isolation", """
+SELECT count(DISTINCT customer_id) AS customers, CAST(0 AS BIGINT) AS crossing FROM binned_snapshots""")
+def balanced_isolation(ws):
+    return evaluation.fold_violations(_balanced(ws))
+
+
 # A churn score by formula, with many ties.
 block("scored", """
 SELECT customer_id, churn, partition_name, round(recency_days / (recency_days + 100.0), 2) AS score

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from basketlake.functions.columns import r6
 from basketlake.operators import (
-    evaluation, explain, feature_selection, models, products, rolling, segments, sequences,
+    evaluation, explain, feature_selection, mixtures, models, products, rolling, segments, sequences,
     taxonomy)
 from basketlake.plans import jobs
-from basketlake.plans.catalogue.evaluation import category_labels, scored, shown, value_folds
+from basketlake.plans.catalogue.evaluation import balanced_value_folds, category_labels, scored, shown
 from basketlake.plans.catalogue.registry import block, query
 from basketlake.plans.workspace import CATEGORIES, MARKDOWN_RATIO
 from basketlake.settings import BEHAVIOUR_FEATURES
@@ -179,13 +178,13 @@ def value_hurdle(ws):
 def value_cross_validation(ws):
     """Grouped cross-validation of all five candidates on the whole rolling table."""
     dataset = ws.rolling_table
-    dealt = value_folds(dataset.where("partition = 'train'"), ws.settings.rolling).drop("bin")
+    dealt = balanced_value_folds(dataset.where("partition = 'train'"), ws.settings.rolling).drop("bin")
     both = dealt.unionByName(dataset.where("partition = 'validation'").withColumn(
         "fold", F.lit(-1)))
     table = ws.stage("rolling_folds", lambda: both)
-    folds, final = models.evaluate_value_candidates(table, models.fit_value_candidates(
+    per_fold, final = models.evaluate_value_candidates(table, models.fit_value_candidates(
         table, rolling.CLV_FEATURES, ws.settings.rolling.folds), ws.settings.rolling.folds)
-    return evaluation.candidate_summary(folds, final)
+    return evaluation.candidate_summary(per_fold, final)
 
 
 # --- next category, sequences, anomalies --------------------------------------------------------
@@ -266,11 +265,9 @@ def mixture_search(ws):
 
 @query("i3_silhouette")
 def silhouette(ws):
-    fitted = models.fit_pipeline(_train(ws), BEHAVIOUR_FEATURES, None, True)
-    points = models.transform(fitted, _train(ws), BEHAVIOUR_FEATURES).select("features")
-    labelled = KMeans(k=4, seed=42).fit(points).transform(points)
-    value = ClusteringEvaluator().evaluate(labelled)
-    return ws.spark.createDataFrame([(4, float(value))], "clusters int, silhouette double")
+    """Of the chosen K-means model."""
+    return _segments(ws)[2].where("selected AND algorithm = 'kmeans'").select(
+        F.col("components").alias("clusters"), "silhouette")
 
 
 _COORDINATES = BEHAVIOUR_FEATURES
@@ -301,6 +298,62 @@ def davies_bouldin(ws):
         r6(F.col("davies_bouldin")).alias("davies_bouldin"))
 
 
+# The mixture that the given segments describe, and its fit to the same rows.
+_KNOWN = [f"coalesce(CAST({c} AS DOUBLE), 0)" for c in _COORDINATES]
+block("mixture_points", f"""
+SELECT segment_id, {', '.join(f'{e} AS x{i}' for i, e in enumerate(_KNOWN))} FROM labelled_segments""")
+block("mixture_parts", f"""
+SELECT segment_id, count(*) / CAST((SELECT count(*) FROM mixture_points) AS DOUBLE) AS w,
+       {', '.join(f'avg(x{i}) AS m{i}, greatest(var_pop(x{i}), 0.00001) AS v{i}' for i in range(len(_KNOWN)))}
+FROM mixture_points GROUP BY segment_id""")
+_LOGS = " + ".join(f"(-0.5 * (ln(2 * pi() * v{i}) + (x{i} - m{i}) * (x{i} - m{i}) / v{i}))" for i in range(len(_KNOWN)))
+
+
+def _points(ws):
+    return _labelled_segments(ws).select("customer_id", "segment_id", *[
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(_COORDINATES)])
+
+
+@query("i2_mixture_of_segments", f"""
+SELECT CAST((SELECT count(*) FROM mixture_parts) AS INTEGER) AS components, count(*) AS n,
+       CAST((SELECT count(*) FROM mixture_parts) * {2 * len(_KNOWN) + 1} - 1 AS INTEGER) AS parameters,
+       round(sum(l), 3) AS log_likelihood,
+       round(((SELECT count(*) FROM mixture_parts) * {2 * len(_KNOWN) + 1} - 1) * ln(count(*)) - 2 * sum(l), 3) AS bic
+FROM (SELECT customer_id, max(l) + ln(sum(exp(l - top))) AS l FROM (
+        SELECT customer_id, l, max(l) OVER (PARTITION BY customer_id) AS top FROM (
+          SELECT customer_id, ln(w) + {_LOGS} AS l
+          FROM (SELECT row_number() OVER () AS customer_id, * FROM mixture_points) CROSS JOIN
+               (SELECT * EXCLUDE segment_id FROM mixture_parts)))
+      GROUP BY customer_id)""")
+def mixture_of_segments(ws):
+    names = [f"x{i}" for i in range(len(_COORDINATES))]
+    points = _points(ws)
+    return shown(mixtures.of_labels(points, "segment_id", names).measured(points, F.array(*names)), 3)
+
+
+# Silhouette of the given segments by squared distances: mean distances come from sums of a segment.
+_SIZE = " + ".join(f"x{i} * x{i}" for i in range(len(_KNOWN)))
+block("silhouette_rows", f"""
+SELECT row_number() OVER () AS r, *, {_SIZE} AS size FROM mixture_points""")
+block("silhouette_sums", f"""
+SELECT segment_id AS other, count(*) AS n, sum(size) AS total,
+       {', '.join(f'sum(x{i}) AS y{i}' for i in range(len(_KNOWN)))} FROM silhouette_rows GROUP BY segment_id""")
+
+
+@query("i3_silhouette_of_segments", f"""
+SELECT CAST(count(DISTINCT segment_id) AS INTEGER) AS clusters,
+       round(avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS silhouette
+FROM (SELECT r, segment_id, min(d / (n - 1)) FILTER (same AND n > 1) AS own, min(d / n) FILTER (NOT same) AS other
+      FROM (SELECT r, segment_id, segment_id = other AS same, n,
+                   n * size + total - 2 * ({' + '.join(f'x{i} * y{i}' for i in range(len(_KNOWN)))}) AS d
+            FROM silhouette_rows CROSS JOIN silhouette_sums) GROUP BY r, segment_id)""")
+def silhouette_of_segments(ws):
+    points = _points(ws).withColumn("features", array_to_vector(F.array(*[f"x{i}" for i in range(len(_COORDINATES))])))
+    value = ClusteringEvaluator(predictionCol="segment_id").evaluate(points)
+    return points.agg(F.count_distinct("segment_id").cast("int").alias("clusters"),
+                      F.round(F.lit(float(value)), 6).alias("silhouette"))
+
+
 @query("i5_segment_assignment")
 def segment_assignment(ws):
     prepared, picked, _ = _segments(ws)
