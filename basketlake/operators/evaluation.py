@@ -160,6 +160,19 @@ def multiclass_metrics(scored: DataFrame, label: str, probabilities: str, k: int
         total.alias("n_rows")).withColumn("macro_f1", macro)
 
 
+def macro_f1(scored: DataFrame, label: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """``n_rows``, ``accuracy`` and ``macro_f1`` of predicted classes, over the classes that occur on either side."""
+    counts = scored.groupBy(*by, F.col(label).alias("y"), F.col(predicted).alias("z")).agg(F.count(F.lit(1)).alias("n"))
+    hit = (F.col("y") == F.col("z")).cast("int")
+    sides = counts.select(*by, F.explode(F.array(
+        F.struct(F.col("y").alias("c"), "n", F.col("n").alias("own"), (hit * F.col("n")).alias("tp")),
+        F.struct(F.col("z").alias("c"), "n", F.lit(0).cast("bigint").alias("own"), F.lit(0).cast("bigint").alias("tp")))).alias("e"))
+    per_class = sides.groupBy(*by, "e.c").agg(F.sum("e.n").alias("both"), F.sum("e.own").alias("own"), F.sum("e.tp").alias("tp"))
+    return per_class.groupBy(*by).agg(
+        F.sum("own").alias("n_rows"), (F.sum("tp") / F.sum("own")).alias("accuracy"),
+        F.avg(2.0 * F.col("tp") / F.col("both")).alias("macro_f1"))
+
+
 def popular_class_baseline(train: DataFrame, validation: DataFrame, label: str, k: int = 3
                            ) -> DataFrame:
     """Accuracy of always naming the most frequent training classes."""

@@ -14,6 +14,7 @@ from basketlake.plans import jobs
 from basketlake.plans.catalogue.evaluation import balanced_value_folds, category_labels, scored, shown
 from basketlake.plans.catalogue.registry import block, query
 from basketlake.plans.workspace import CATEGORIES, MARKDOWN_RATIO
+from basketlake.session import materialize
 from basketlake.settings import BEHAVIOUR_FEATURES
 
 # The production candidate of each family where it is not the first: 200 trees of depth 8.
@@ -203,6 +204,24 @@ def next_category_model(ws):
     return evaluation.multiclass_metrics(rows, "class_index", "class_probabilities")
 
 
+def _category_search(ws):
+    return _model(ws, "category_search", lambda: models.search_next_category(
+        category_table(ws).where("partition = 'train'"), ws.feature_names))
+
+
+@query("h26_category_search")
+def category_search(ws):
+    """Macro-F1 of every boosted candidate and fold."""
+    return _category_search(ws)[1]
+
+
+@query("h26_category_winner")
+def category_winner(ws):
+    rows = models.score_next_category(_category_search(ws)[0], category_table(ws).where("partition = 'validation'"), ws.feature_names)
+    return evaluation.multiclass_metrics(materialize(rows.select("class_index", "class_probabilities")),
+                                         "class_index", "class_probabilities")
+
+
 def padded_sequences(ws):
     table = ws.sequence_table
     return sequences.padded(table, _scaler(ws))

@@ -36,7 +36,7 @@ class ModelSet:
     churn: PipelineModel
     churn_threshold: float
     value: models.ValueModel
-    category: PipelineModel
+    category: PipelineModel | models.BoostedCategory
     anomaly: models.AnomalyModel
     anomaly_limit: float
     prepared: PipelineModel
@@ -94,9 +94,13 @@ def build_foundation(lines: DataFrame, taxonomy: DataFrame, n_categories: int, r
 
 def train_models(churn_table: DataFrame, rolling_table: DataFrame, category_table: DataFrame,
                  padded: DataFrame, sequence_scaler: DataFrame, feature_names: Sequence[str],
-                 n_categories: int, cfg: Settings = DEFAULTS, trees: int = 200, depth: int = 8
-                 ) -> ModelSet:
-    """Fit every production family on train rows; thresholds come from validation rows."""
+                 n_categories: int, cfg: Settings = DEFAULTS, trees: int = 200, depth: int = 8,
+                 search_categories: bool = False) -> ModelSet:
+    """Fit every production family on train rows; thresholds come from validation rows.
+
+    With ``search_categories`` the next category is the winner of the search over boosted candidates,
+    which takes hundreds of passes; without it, a forest.
+    """
     names = tuple(feature_names)
     train, validation = (churn_table.where(F.col("partition") == p)
                          for p in ("train", "validation"))
@@ -112,8 +116,8 @@ def train_models(churn_table: DataFrame, rolling_table: DataFrame, category_tabl
 
     dev = rolling_table.where(F.col("partition") == "train")
     value = models.value_fits(rolling.CLV_FEATURES)["ridge_log1p"](dev)
-    category = models.fit_next_category(
-        category_table.where(F.col("partition") == "train"), names)
+    known = category_table.where(F.col("partition") == "train")
+    category = models.search_next_category(known, names)[0] if search_categories else models.fit_next_category(known, names)
     anomaly = models.fit_anomaly(train, BEHAVIOUR_FEATURES)
     errors = materialize(anomaly.errors(validation).select("anomaly_score"))
     limit = float(errors.select(models.anomaly_threshold(
