@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from basketlake.operators import boosting
@@ -163,3 +164,23 @@ def test_no_rows_and_constant_features(spark):
     flat = boosting.fit(frame.withColumns({n: F.lit(1.0) for n in NAMES}), NAMES, F.col("id"),
                         [Boost("tweedie", F.col("value"), rounds=3)], bins=8)[0]
     assert len({*flat.raw_of(np.random.default_rng(0).normal(size=(5, 3)))[:, 0].tolist()}) == 1
+
+
+def test_sums_too_large_for_the_driver_are_split_by_the_executors(fitted, spark, monkeypatch):
+    frame, rows, models = fitted
+
+    split = boosting.split
+
+    def in_tasks(*asked):
+        assert TaskContext.get() is not None, "the driver saw the sums"
+        return split(*asked)
+
+    monkeypatch.setattr(boosting, "split", in_tasks)
+    monkeypatch.setattr(boosting, "DRIVER_BYTES", -1, raising=False)
+    monkeypatch.setattr(boosting, "PASS_BYTES", 20_000, raising=False)  # several passes a level
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)  # several blocks a task
+    again = boosting.fit(frame, NAMES, F.col("id"), boosts(), bins=16, partitions=3)
+    values = np.array([[np.nan if v is None else v for v in r[1:4]] for r in rows])
+    for one, two in zip(models, again):
+        assert len(one.trees) == len(two.trees) and np.abs(one.raw_of(values) - two.raw_of(values)).max() < 1e-8
+        assert all((a == b).all() for s, t in zip(one.trees, two.trees) for u, v in zip(s, t) for a, b in zip(u.covers, v.covers))
