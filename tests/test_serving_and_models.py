@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from datetime import datetime
 
 import numpy as np
@@ -220,6 +221,35 @@ def test_model_contracts(training):
     assert drivers.count() == 80 * 3
 
 
+def test_forest_dependence_equals_rescored_copies(training):
+    names = ["a", "b", "c"]
+    train = training.where("partition = 'train'").withColumn("b", F.when(F.col("customer_id") != "3", F.col("b")))
+    fitted = models.fit_binary(train, names, models.churn_families(160, 3)["random_forest"], 2)
+    slow = explain.partial_dependence(lambda rows: models.score_binary(fitted, rows, names), train, ["a", "b"], names, 7)
+    fast = explain.forest_dependence(fitted, train, ["a", "b"], names, 7)
+    told = [{(r.feature, r.step): (r.grid_value, r.mean_score) for r in table.collect()} for table in (slow, fast)]
+    assert len(told[0]) == 14 and len({v[1] for v in told[0].values()}) > 5
+    assert told[0].keys() == told[1].keys()
+    assert all(told[1][k] == pytest.approx(v, abs=1e-9) for k, v in told[0].items())
+
+
+def test_permuted_rows_are_scored_once(training, spark):
+    scored = spark.sparkContext.accumulator(0)
+    from pyspark.sql.types import DoubleType
+
+    @F.udf(DoubleType())
+    def score(x):
+        scored.add(1)
+        return 1 / (1 + math.exp(-x))
+
+    rows = training.where("partition = 'validation'")
+    found = explain.permutation_importance(
+        lambda frame: frame.withColumn("probability_1", score("a")), rows, ["a", "b"], "churn").collect()
+    told = {r.feature: r.importance for r in found}
+    assert told["a"] > 0.2 and abs(told["b"]) < 1e-9
+    assert scored.value == 3 * 80  # two copies and the rows themselves
+
+
 def test_ridge_is_the_closed_form(training):
     names = ["a", "b", "c"]
     train = training.where("partition = 'train'")
