@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basketlake.functions import distributed
 from basketlake.operators import (
     cleaning, features, products, rolling, sequences, snapshots)
+from basketlake.session import materialize
 from basketlake.settings import RollingSettings, SequenceSettings, SnapshotSettings
 from basketlake.sources import sinks
 from tests.conftest import sample_rows
@@ -166,6 +167,31 @@ def test_rolling_dataset_matches_single_cutoffs(sample, clean, people, spark):
         assert same(here, alone)
 
 
+def test_rolling_inputs_shuffle_lines_and_orders_once(clean, spark):
+    at = spark.sql("select array(timestamp_ntz'2021-03-01', timestamp_ntz'2021-04-01') as c").select("c").scalar()
+    table = rolling.clv_features(materialize(clean), at)
+    plan = table._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    assert table._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_empty_windows_and_split_invoices(make_lines, spark):
+    lines = cleaning.clean(make_lines([
+        ("1", "P1", "a", 2, "2021-01-10", 10, "A", "S"), ("1", "P2", "a", 1, "2021-01-12", 5, "A", "S"),
+        ("C2", "P1", "a", -1, "2021-01-20", 10, "A", "S"), ("3", "P1", "a", 1, "2022-03-31 23:00:00", 7, "A", "S")]))
+    at = spark.sql("select sequence(timestamp_ntz'2021-02-01', timestamp_ntz'2022-05-01', interval 1 month) as c"
+                   ).select("c").scalar()
+    rows = {str(r.cutoff_timestamp)[:7]: r for r in rolling.clv_features(lines, at).collect()}
+    assert len(rows) == 16
+    first, quiet, last = rows["2021-02"], rows["2021-12"], rows["2022-04"]
+    assert (first.spend_30d, first.orders_30d, first.customer_tenure_days) == (25.0, 1.0, 22.0)
+    assert first.return_value_ratio == pytest.approx(10 / 25) and first.lifetime_net_revenue == 15.0
+    assert (quiet.spend_180d, quiet.orders_180d, quiet.active_month_count, quiet.return_value_ratio) == (0, 0, 0, 0)
+    assert (quiet.lifetime_orders, quiet.lifetime_positive_spend, quiet.lifetime_net_revenue) == (1, 25.0, 15.0)
+    assert (last.lifetime_orders, last.spend_30d, last.lifetime_net_revenue) == (2, 7.0, 22.0)
+    assert str(last.feature_max_timestamp) == "2022-03-31 23:00:00"
+
+
 def test_sequences_stay_bounded_and_ordered(clean, people, taxonomy):
     split = people.withColumn("partition", F.lit("train"))
     events = sequences.invoice_events(clean, taxonomy)
