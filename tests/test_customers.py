@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 import numpy as np
@@ -167,6 +168,16 @@ def test_rolling_dataset_matches_single_cutoffs(sample, clean, people, spark):
         assert same(here, alone)
 
 
+def test_value_rank_spreads_a_hot_value(spark):
+    rows = materialize(spark.range(4000).select(F.col("id").cast("string").alias("k"), F.when(
+        F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") % 50 - 25.5).alias("v")))
+    ranked = distributed.value_rank(rows, "v", "k", "42")
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2  # offsets, and these to the rows
+    want = sorted(rows.collect(), key=lambda r: (r.v, hashlib.md5(f"42|{r.k}".encode()).hexdigest(), r.k))
+    got = {r.k: r["rank"] for r in ranked.collect()}
+    assert got == {r.k: i + 1 for i, r in enumerate(want)}
+
+
 def test_rolling_inputs_shuffle_lines_and_orders_once(clean, spark):
     at = spark.sql("select array(timestamp_ntz'2021-03-01', timestamp_ntz'2021-04-01') as c").select("c").scalar()
     table = rolling.clv_features(materialize(clean), at)
