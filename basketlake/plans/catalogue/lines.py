@@ -301,7 +301,7 @@ def _thresholds(ws):
 
 
 def _fitted(ws):
-    return cleaning.clean(ws.lines, ws.cleaning_cfg, _thresholds(ws))
+    return cleaning.refitted(ws.clean, ws.cleaning_cfg, _thresholds(ws))
 
 
 @query("b5_outlier_thresholds", """
