@@ -29,6 +29,8 @@ DENSE = 1 << 18
 BREAK = b"."
 _TABLE = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"........." + b" ")
 WORDS = "chunk bigint, lang string, key string, code int, held bigint, codes binary"
+# pairs come in order of their ranks: small differences, and few bytes
+COMPACT = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 PAIRS = "chunk bigint, x bigint, y bigint, code int, held bigint, codes binary"
 
 
@@ -151,7 +153,8 @@ def _next_level(last: bool):
 def counted(state: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Every chunk's row of the items that occur ``least`` times in all chunks, with that frequency ``f``
     and an id that the rows of one item share; ``own`` marks one row of each."""
-    rows = state.where("codes is null").select("chunk", *keys, "code", "held").withColumn(
+    # rows are numbered once they have met: the numbers need not travel with them
+    rows = state.where("codes is null").select("chunk", *keys, "code", "held").repartition(*keys).withColumn(
         "row", F.monotonically_increasing_id())
     alike = Window.partitionBy(*keys)
     return rows.withColumn("f", F.sum("held").over(alike)).withColumn("id", F.min("row").over(alike)).where(
@@ -173,14 +176,14 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int
     lang without candidates, and an empty table, give no rows.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    state, path = written_at(dictionaries(rows, chunk_bytes), "phrase-words")
+    state, path = written_at(dictionaries(rows, chunk_bytes), "phrase-words", compression="zstd")
     keys = ["lang", "key"]
     n = written(state.where("codes is null").groupBy("lang").agg(F.sum("held").alias("n")), "phrase-totals")
     found = None
     for words in range(1, most_words + 1):
         spent = [path]
         if words < most_words:
-            items, items_path = written_at(counted(state, keys, least), f"phrase-items{words}")
+            items, items_path = written_at(counted(state, keys, least), f"phrase-items{words}", **COMPACT)
             frequent = items.where("own").select(*keys, "f", "id")
             spent.append(items_path)
         else:  # no text learns these, so any number will do
@@ -206,7 +209,7 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, top: int
             learnt = items.select("chunk", "code", "f", "id")
             codes = state.where("codes is not null").select("chunk", "codes")
             state, path = written_at(codes.groupBy("chunk").cogroup(learnt.groupBy("chunk")).applyInArrow(
-                _next_level(words + 1 == most_words), PAIRS), f"phrase-pairs{words + 1}")
+                _next_level(words + 1 == most_words), PAIRS), f"phrase-pairs{words + 1}", **COMPACT)
             keys = ["x", "y"]
         for old in spent:
             removed(docs.sparkSession, old)
