@@ -6,7 +6,7 @@ digests and the xor of their checks. Two sketches subtract cell by cell, which l
 differ: a cell with one digest (count 1 or -1 and a matching check) gives it away, it is taken out of
 its other cells, and so on until all cells are empty. If they do not become empty, the same texts are
 sketched again larger: the digests are split by their bits into twice as many blocks each time, every
-block with a sketch of its own. Work and size grow with the number of paragraphs, not with its square.
+block with a cell, and where that is not enough a sketch, of its own. Work and size grow with the number of paragraphs, not with its square.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ LONG = 120
 WORDS_MASK, CHARACTERS_MASK = 7, 31
 TABLES, CELLS = 3, 4
 ROUNDS = 6
-BLOCK_LOAD = 4.0
+LONE_LOAD = 2.0
 BUCKET_ROWS = 2000
 MOST_BUCKETS = 1_000_000
 
@@ -145,55 +145,81 @@ def peel(difference: Column) -> Column:
 
 def blocks(keys: Column, level: Column, above: Column) -> Column:
     """The digests in 2 ** level blocks by their bits from ``above`` on, halved level by level."""
-    steps = F.slice(F.array(*[F.lit(i) for i in range(1, 45)]), above + 1, level)
+    masks = F.slice(F.array(*[F.lit(1 << i).cast("bigint") for i in range(16, 60)]), above + 1, level)
+    none = F.lit(0).cast("bigint")
 
-    def halve(groups: Column, step: Column) -> Column:
-        bit = lambda k: F.call_function("shiftrightunsigned", k, step + 15).bitwiseAND(F.lit(1))
+    def halve(groups: Column, mask: Column) -> Column:
         return F.flatten(F.transform(groups, lambda g: F.array(
-            F.filter(g, lambda k: bit(k) == 0), F.filter(g, lambda k: bit(k) == 1))))
+            F.filter(g, lambda k: k.bitwiseAND(mask) == none), F.filter(g, lambda k: k.bitwiseAND(mask) != none))))
 
-    return F.aggregate(steps, F.array(keys), halve)
+    return F.aggregate(masks, F.array(keys), halve)
 
 
 def _result(done: Column, left: Column, right: Column) -> Column:
     return F.struct(done.alias("done"), left.alias("left"), right.alias("right"))
 
 
+def _summed(results: Column) -> Column:
+    return F.aggregate(results, _result(F.lit(True), F.lit(0), F.lit(0)), lambda s, x: _result(
+        s["done"] & x["done"], s["left"] + x["left"], s["right"] + x["right"]))
+
+
 def _blockwise(left: Column, right: Column, level: Column, above: Column, retry) -> Column:
     """Recovery with one sketch a block; ``retry(a, b)`` gives the result of a block that fails."""
     def one(a: Column, b: Column) -> Column:
         return F.when((F.size(a) == 0) & (F.size(b) == 0), _result(F.lit(True), F.lit(0), F.lit(0))).otherwise(
             let(peel(difference(a, b)), lambda r: F.when(r["done"], r).otherwise(retry(a, b))))
 
-    each = F.zip_with(blocks(left, level, above), blocks(right, level, above), one)
-    return F.aggregate(each, _result(F.lit(True), F.lit(0), F.lit(0)), lambda s, x: _result(
-        s["done"] & x["done"], s["left"] + x["left"], s["right"] + x["right"]))
+    return _summed(F.zip_with(blocks(left, level, above), blocks(right, level, above), one))
+
+
+def _lone(left: Column, right: Column, level: Column, above: Column, retry) -> Column:
+    """Recovery with one cell a block, for a digest or none that differs; ``retry(a, b)`` as above.
+
+    A block that has but one digest is its own cell.
+    """
+    def merged(cell: Column, keys: Column, sign: int) -> Column:
+        return F.aggregate(keys, cell, lambda c, k: _cell(
+            c["n"] + sign, c["key"].bitwiseXOR(k), c["check"].bitwiseXOR(_check(k))))
+
+    def one(a: Column, b: Column) -> Column:
+        empty = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+        cell = merged(merged(empty, a, 1), b, -1)
+        return F.when(F.size(a) + F.size(b) < 2, _result(F.lit(True), F.size(a), F.size(b))).otherwise(let(
+            cell, lambda c: F.when((c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0), _result(
+                F.lit(True), F.lit(0), F.lit(0))).when(
+                (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"]), _result(
+                    F.lit(True), F.when(c["n"] == 1, 1).otherwise(0), F.when(c["n"] == 1, 0).otherwise(1))).otherwise(retry(a, b))))
+
+    return _summed(F.zip_with(blocks(left, level, above), blocks(right, level, above), one))
 
 
 def recovered(left: Column, left_cells: Column, right: Column, right_cells: Column) -> Column:
     """Numbers of digests only in one of two texts, from sketches made larger until they peel.
 
-    After the base sketch come block sketches for the load of both sets; a block that fails is
-    sketched again as eight, and one of those as eight more. What fails even then (two digests with
-    equal cells all through) is compared directly.
+    After the base sketch come blocks of one cell, which most digests have to themselves or share with
+    the other text's equal one. A block that keeps more is cut into eight such blocks. What is left gets
+    a sketch of the base's size, and a failing one eight. What fails even then (two digests with equal
+    cells all through) is compared directly.
     """
-    level = F.greatest(F.lit(1), F.ceil(F.log2((F.size(left) + F.size(right)) / F.lit(BLOCK_LOAD)))).cast("int")
+    level = F.greatest(F.lit(1), F.ceil(F.log2((F.size(left) + F.size(right)) / F.lit(LONE_LOAD)))).cast("int")
 
     def direct(a: Column, b: Column) -> Column:
         return _result(F.lit(True), F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
 
     def third(a: Column, b: Column) -> Column:
-        return _blockwise(a, b, F.lit(3), level + 3, direct)
+        return let(peel(difference(a, b)), lambda r: F.when(r["done"], r).otherwise(
+            _blockwise(a, b, F.lit(3), level + 3, direct)))
 
     def second(a: Column, b: Column) -> Column:
-        return _blockwise(a, b, F.lit(3), level, third)
+        return _lone(a, b, F.lit(3), level, third)
 
     # counts of one table that differ by more than there are cells leave more digests than can peel
     apart = F.aggregate(F.zip_with(F.slice(left_cells, 1, CELLS), F.slice(right_cells, 1, CELLS),
                                    lambda a, b: F.abs(a["n"] - b["n"])), F.lit(0), lambda t, x: t + x)
     base = F.when(apart > TABLES * CELLS, _result(F.lit(False), F.lit(0), F.lit(0))).otherwise(
         peel(subtract(left_cells, right_cells)))
-    return let(base, lambda r: F.when(r["done"], r).otherwise(_blockwise(left, right, level, F.lit(0), second)))
+    return let(base, lambda r: F.when(r["done"], r).otherwise(_lone(left, right, level, F.lit(0), second)))
 
 
 def likeness(left: Column, left_cells: Column, right: Column, right_cells: Column) -> Column:
@@ -254,7 +280,7 @@ def in_buckets(rows: DataFrame, bucket_rows: int) -> DataFrame:
 
 
 def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Each row (doc_id, text) with its digests beside the next one's, in descending id order.
+    """Each row (doc_id, text) with its digests and cells beside the next one's, in descending id order.
 
     The first row follows the last. Rows go to buckets of consecutive ids and text hashes, in one
     shuffle; only each bucket's first row travels further, to the bucket before. Null ids come last,
@@ -262,8 +288,8 @@ def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """
     dealt = in_buckets(rows, bucket_rows)
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
-    chained = dealt.withColumn("keys", digests(F.col("text"))).withColumn(
-        "after_text", F.lead("text").over(order)).withColumn("after_keys", F.lead("keys").over(order))
+    chained = dealt.withColumn("keys", digests(F.col("text"))).withColumn("cells", cells(F.col("keys"))).withColumns(
+        {f"after_{c}": F.lead(c).over(order) for c in ("text", "keys", "cells")})
     # the first row of each bucket: ids and ties alone are compared, then its text is looked up
     least = dealt.groupBy("bucket").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("missing"), F.bitwise_not("doc_id").alias("behind"), "tie")).alias("first"))
@@ -276,10 +302,11 @@ def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     heads = rows.withColumn("tie", F.xxhash64("text")).join(
         F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     ).dropDuplicates(["before"]).select(F.col("before").alias("bucket"), F.col("text").alias("head_text"))
-    joined = chained.join(heads, "bucket")
+    joined = chained.join(heads.withColumn("head_keys", digests(F.col("head_text"))).withColumn(
+        "head_cells", cells(F.col("head_keys"))), "bucket")
     return joined.select(
-        "doc_id", "text", "keys", F.coalesce("after_text", "head_text").alias("after_text"),
-        F.when(F.col("after_text").isNull(), digests(F.col("head_text"))).otherwise(F.col("after_keys")).alias("after_keys"))
+        "doc_id", "text", "keys", "cells",
+        *[F.coalesce(f"after_{c}", f"head_{c}").alias(f"after_{c}") for c in ("text", "keys", "cells")])
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,12 +320,11 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     size = F.char_length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.left("text", size - third), F.left("after_text", third))
-    out = paired.select("doc_id", size.cast("bigint").alias("n_chars"), "keys",
-                        F.col("after_keys").alias("next_keys"), edited.alias("edited"))
+    out = paired.select("doc_id", size.cast("bigint").alias("n_chars"), "keys", "cells", F.col("after_keys").alias("next_keys"),
+                        F.col("after_cells").alias("next_cells"), edited.alias("edited"))
     out = out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn(
         "edited_keys", digests(F.col("edited"))).drop("edited")
-    for name in ("", "edited_", "next_"):
-        out = out.withColumn(f"{name}cells", cells(F.col(f"{name}keys")))
+    out = out.withColumn("edited_cells", cells(F.col("edited_keys")))
     sides = {n: (F.col(f"{n}keys"), F.col(f"{n}cells")) for n in ("", "edited_", "next_")}
     return out.select(
         "doc_id", "n_chars", "edited_sha256", listed(F.col("cells")).alias("fingerprint"),
